@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,10 +49,20 @@ def byte_table() -> dict[str, int]:
 class PieceEncoder:
     """Encodes texts piece by piece with the tokenizers library and remembers the ids of each piece.
 
-    A byte-level BPE never merges over the border of two pieces, so the ids of a text are those of its pieces."""
+    A byte-level BPE never merges over the border of two pieces, so the ids of a text are those of its pieces. Where a
+    text has characters that this Python does not know, on whose class two libraries may differ, the tokenizer also
+    does the splitting."""
 
     def __init__(self, path: str):
         self.tokenizer, self.split, self.known = _tokenizer(path), _pieces(), {}
+        self.settled: set[str] = set()
+
+    def _doubtful(self, text: str) -> bool:
+        if text.isascii() or self.settled.issuperset(text):
+            return False
+        new = set(text) - self.settled
+        self.settled |= {c for c in new if unicodedata.category(c) != "Cn"}
+        return not self.settled.issuperset(new)
 
     def _learn(self, new: list[str]) -> None:
         for piece, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
@@ -63,7 +74,10 @@ class PieceEncoder:
             self.known.clear()
         known, chunks, ends = self.known, [], [0]
         for text in texts:
-            if text:
+            if text and self._doubtful(text):
+                chunks.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32).tobytes())
+                ends.append(ends[-1] + len(chunks[-1]) // 4)
+            elif text:
                 pieces = self.split(text)
                 try:
                     chunks.append(b"".join([known[p] for p in pieces]))
