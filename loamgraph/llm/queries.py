@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import cooccurrence, sightings, term_frequency, tokenization, top_n
+from loamgraph.llm import contamination, cooccurrence, sightings, term_frequency, tokenization, top_n
 from loamgraph.plans.session import load
 
 
@@ -69,8 +69,12 @@ def p6_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return documents.join(back, "doc_id").where("text <> decoded").select("doc_id")
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.leaked_items(load(spark, sf, "documents"), load(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_terms, p1_mentions, p3_found, p3_ranked, p3_sightings_column, p4_found, p4_changes, p6_ids, p6_round_trip)
+    f.__name__: f for f in (p1_found, p1_terms, p1_mentions, p3_found, p3_ranked, p3_sightings_column, p4_found, p4_changes, p6_ids, p6_round_trip, p7_found)
 }
 
 _TERM = rf"lower(trim(regexp_replace(surface, '{term_frequency.WS}+', ' ', 'g')))"
