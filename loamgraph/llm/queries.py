@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import contamination, cooccurrence, sightings, term_frequency, tokenization, top_n
+from loamgraph.llm import contamination, cooccurrence, reading_level, sightings, term_frequency, tokenization, top_n
 from loamgraph.plans.session import load
 
 
@@ -73,8 +73,20 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.leaked_items(load(spark, sf, "documents"), load(spark, sf, "eval_items")).select("doc_id", "item_id")
 
 
+def _levels(spark: SparkSession, sf: str) -> DataFrame:
+    return reading_level.reading_levels(load(spark, sf, "documents"), load(spark, sf, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _levels(spark, sf).where("demanding").select("doc_id")
+
+
+def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return _levels(spark, sf)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_terms, p1_mentions, p3_found, p3_ranked, p3_sightings_column, p4_found, p4_changes, p6_ids, p6_round_trip, p7_found)
+    f.__name__: f for f in (p1_found, p1_terms, p1_mentions, p3_found, p3_ranked, p3_sightings_column, p4_found, p4_changes, p6_ids, p6_round_trip, p7_found, p8_found, p8_levels)
 }
 
 _TERM = rf"lower(trim(regexp_replace(surface, '{term_frequency.WS}+', ' ', 'g')))"

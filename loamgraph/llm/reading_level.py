@@ -24,6 +24,8 @@ LONGEST = 60
 DEFAULT_FORMULA = (2.0, 14.0, 0.2, 11.0)
 LEAST_LABELS = 60
 GRADE = 13
+#: With fewer words of its own a document has no level.
+LEAST_WORDS = 20
 
 _FENCE = re.compile(r"^(```|~~~).*?^\1[^\n]*$|^(?:```|~~~).*\Z", re.MULTILINE | re.DOTALL)
 _LINE_END = re.compile(r"\r\n|[\r\x85  ]")
@@ -55,7 +57,7 @@ def own_prose(text: str | None) -> list[str]:
 
 
 def sentences(paragraph: str) -> list[str]:
-    """Complete sentences; what stands after the last full stop, question or exclamation mark is none."""
+    """Complete sentences: with a full stop, question or exclamation mark, and not begun in lower case like a list."""
     out, begin = [], 0
     for m in _END.finditer(paragraph):
         before = _LAST.search(paragraph, begin, m.start())
@@ -64,7 +66,9 @@ def sentences(paragraph: str) -> list[str]:
         after = paragraph[m.end() :].lstrip()[:1]
         if after.islower() and m[0] == ".":
             continue
-        out.append(paragraph[begin : m.end()])
+        first = _WORD.search(paragraph, begin, m.end())
+        if first and not first[0][0].islower():
+            out.append(paragraph[begin : m.end()])
         begin = m.end()
     return out
 
@@ -164,7 +168,7 @@ def fit(measured: DataFrame, labels: DataFrame) -> tuple[float, float, float, fl
     """
     graded = labels.where("grade BETWEEN 1 AND 17 AND doc_id IS NOT NULL").select("doc_id", "rater", "grade").distinct().groupBy("doc_id").agg(F.percentile("grade", 0.5).alias("grade"))
     x = F.least(F.col("sentence"), F.lit(float(LONGEST)))
-    rows = materialize(measured.where("unfamiliar IS NOT NULL").join(graded, "doc_id").select(F.col("unfamiliar").alias("u"), x.alias("s"), "grade"), "graded")
+    rows = materialize(measured.where(F.col("n_words") >= LEAST_WORDS).join(graded, "doc_id").select(F.col("unfamiliar").alias("u"), x.alias("s"), "grade"), "graded")
 
     def solve(part: DataFrame) -> tuple[int, np.ndarray]:
         n, *sums = part.selectExpr("count(1)", "sum(u)", "sum(s)", "sum(u*u)", "sum(u*s)", "sum(s*s)", "sum(grade)", "sum(u*grade)", "sum(s*grade)").first()
@@ -195,11 +199,11 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, lang: str = "en")
 
     A familiar-word formula: ``level`` = constant + weight * share of words outside the high-frequency list + weight *
     words a sentence, with weights from the readers' grades. ``demanding`` is true where the level reaches the cut for
-    more than secondary school. Null, empty and wordless texts have a null level and are not demanding; texts of any
-    length are read whole. Both passes over the texts run without a shuffle of text.
+    more than secondary school. Texts with fewer than LEAST_WORDS words of their own, null and empty ones among them,
+    have a null level and are not demanding; texts of any length are read whole. Both passes over the texts run without a shuffle of text.
     """
     ours = documents.where(F.col("lang") == lang).select("doc_id", "text")
     measured = materialize(features(ours, familiar_words(ours)), "measured")
     constant, of_words, of_length, cut = fit(measured, labels)
     level = F.lit(constant) + F.lit(of_words) * F.col("unfamiliar") + F.lit(of_length) * F.least(F.col("sentence"), F.lit(float(LONGEST)))
-    return measured.withColumn("level", level).withColumn("demanding", F.coalesce(level >= cut, F.lit(False)))
+    return measured.withColumn("level", F.when(F.col("n_words") >= LEAST_WORDS, level)).withColumn("demanding", F.coalesce(F.col("level") >= cut, F.lit(False)))
