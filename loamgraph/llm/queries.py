@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import contamination, cooccurrence, reading_level, sightings, term_frequency, tokenization, top_n
+from loamgraph.llm import contamination, cooccurrence, reading_level, sightings, source_files, term_frequency, tokenization, top_n
 from loamgraph.plans.session import load
 
 
@@ -58,6 +58,14 @@ def p4_changes(spark: SparkSession, sf: str) -> DataFrame:
     return table.associations().select(F.col("item_a").alias("entity_a"), F.col("item_b").alias("entity_b"), "n", "n_a", "n_b", "total", F.round("lift", 6).alias("lift"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_reasons(spark, sf).select("path")
+
+
+def p5_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return source_files.not_by_hand(load(spark, sf, "nodes"), load(spark, sf, "chunks"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenization.encode(load(spark, sf, "documents"))
 
@@ -86,7 +94,7 @@ def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_terms, p1_mentions, p3_found, p3_ranked, p3_sightings_column, p4_found, p4_changes, p6_ids, p6_round_trip, p7_found, p8_found, p8_levels)
+    f.__name__: f for f in (p1_found, p1_terms, p1_mentions, p3_found, p3_ranked, p3_sightings_column, p4_found, p4_changes, p5_found, p5_reasons, p6_ids, p6_round_trip, p7_found, p8_found, p8_levels)
 }
 
 _TERM = rf"lower(trim(regexp_replace(surface, '{term_frequency.WS}+', ' ', 'g')))"
