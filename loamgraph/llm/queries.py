@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import contamination, cooccurrence, reading_level, sightings, source_files, term_frequency, tokenization, top_n
+from loamgraph.llm import contamination, cooccurrence, name_variants, reading_level, sightings, source_files, term_frequency, tokenization, top_n
 from loamgraph.plans.session import load
 
 
@@ -27,6 +27,10 @@ def p1_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return term_frequency.true_mentions(load(spark, sf, "entities"), _current(spark, sf))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return name_variants.variant_pairs(load(spark, sf, "entities"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return top_n.strongest_sightings(_current(spark, sf), only_larger=True).select("entity_id", "path", "chunk_index", "surface")
 
@@ -94,7 +98,7 @@ def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_terms, p1_mentions, p3_found, p3_ranked, p3_sightings_column, p4_found, p4_changes, p5_found, p5_reasons, p6_ids, p6_round_trip, p7_found, p8_found, p8_levels)
+    f.__name__: f for f in (p1_found, p1_terms, p1_mentions, p2_found, p3_found, p3_ranked, p3_sightings_column, p4_found, p4_changes, p5_found, p5_reasons, p6_ids, p6_round_trip, p7_found, p8_found, p8_levels)
 }
 
 _TERM = rf"lower(trim(regexp_replace(surface, '{term_frequency.WS}+', ' ', 'g')))"
