@@ -28,14 +28,9 @@ GRADE = 13
 LEAST_WORDS = 20
 
 _FENCE = re.compile(r"^(```|~~~).*?^\1[^\n]*$|^(?:```|~~~).*\Z", re.MULTILINE | re.DOTALL)
-_LINE_END = re.compile(r"\r\n|[\r\x85  ]")
-# What is not the document's own prose, by the start of its line: quotations, tables, headings, lists, logs, fields.
-_OTHER = re.compile(r"^[ \t]*(?:>|\||#{1,6}[ \t]|[-*+•–][ \t]|\d{1,3}[.)][ \t]|\[?\d{1,2}:\d{2}|\d{4}-\d\d-\d\d|[A-Z][a-z]+: |See \[|<[a-z/!])|^(?: {4}|\t)\S")
-_WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
-_END = re.compile(r"[.!?][\"'”’)\]]*(?=\s|$)")
+_LINE_END = re.compile(r"[.!?]+[\"'”’)\]]*(?:\s+(?![a-z])|\s*$)")
 # Abbreviations after which a full stop ends no sentence.
 ABBREVIATIONS = frozenset("cf sect esp fig figs i.e e.g vs pp p ff vol vols no nos etc al dr mr mrs ms prof st jr sr inc ltd approx ca ed eds ch sec eq ref refs univ dept".split())
-_LAST = re.compile(r"([^\s(]+)$")
 
 
 def own_prose(text: str | None) -> list[str]:
@@ -60,12 +55,10 @@ def sentences(paragraph: str) -> list[str]:
     """Complete sentences: with a full stop, question or exclamation mark, and not begun in lower case like a list."""
     out, begin = [], 0
     for m in _END.finditer(paragraph):
-        before = _LAST.search(paragraph, begin, m.start())
-        if paragraph[m.start()] == "." and before and (before[1].lower() in ABBREVIATIONS or (len(before[1]) == 1 and before[1].isalpha())):
-            continue
-        after = paragraph[m.end() :].lstrip()[:1]
-        if after.islower() and m[0] == ".":
-            continue
+        if paragraph[m.start()] == ".":
+            last = paragraph[max(begin, paragraph.rfind(" ", begin, m.start()) + 1) : m.start()].lstrip("(")
+            if last.lower() in ABBREVIATIONS or (len(last) == 1 and last.isalpha()):
+                continue
         first = _WORD.search(paragraph, begin, m.end())
         if first and not first[0][0].islower():
             out.append(paragraph[begin : m.end()])
@@ -75,22 +68,18 @@ def sentences(paragraph: str) -> list[str]:
 
 def plain_words(text: str) -> list[str]:
     """Lower-case words, without names: words with a capital that do not begin a sentence."""
-    out, at = [], 0
-    for m in _WORD.finditer(text):
-        word = m[0]
-        lower = word.lower()
-        if word == lower or word.isupper() or not text[at : m.start()].strip() or text[at : m.start()].rstrip(" \"'“‘(")[-1:] in ".!?":
-            out.append(lower)
-        at = m.end()
-    return out
+    if text.isupper():
+        text = text.lower()
+    return _LOWER.findall(text) + [w.lower() for w in _FIRST.findall(text)]
+
+
+def prose_words(paragraphs: list[str]) -> list[str]:
+    return [w for p in paragraphs for w in plain_words(p)]
 
 
-def measure(text: str | None) -> tuple[list[str], list[int]]:
-    """The words of the own prose, and the lengths of its complete sentences in words."""
-    paragraphs = own_prose(text)
-    words = [w for p in paragraphs for w in plain_words(p)]
-    lengths = [n for p in paragraphs for s in sentences(p) if (n := len(_WORD.findall(s))) > 0]
-    return words, lengths
+def sentence_lengths(paragraphs: list[str]) -> list[int]:
+    """The words in each complete sentence."""
+    return [n for p in paragraphs for s in sentences(p) if (n := len(_WORD.findall(s))) > 0]
 
 
 def _word_bin(words: list[str]) -> int:
@@ -108,7 +97,7 @@ def document_frequencies(documents: DataFrame) -> DataFrame:
         for batch in batches:
             counts: dict[int, Counter] = {}
             for text in batch.column(0).to_pylist():
-                words, _ = measure(text)
+                words = prose_words(own_prose(text))
                 if words:
                     counts.setdefault(_word_bin(words), Counter()).update([*set(words), None])
             rows = [(b, w, n) for b, c in counts.items() for w, n in c.items()]
@@ -150,7 +139,8 @@ def features(documents: DataFrame, familiar: list[str]) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words, lengths = measure(text)
+                paragraphs = own_prose(text)
+                words, lengths = prose_words(paragraphs), sentence_lengths(paragraphs)
                 unfamiliar = sum(w not in known for w in words) / len(words) if words else None
                 rows.append((key, len(words), len(lengths), unfamiliar, float(median(lengths)) if lengths else (0.0 if words else None)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()))], names=["doc_id", "n_words", "n_sentences", "unfamiliar", "sentence"])
