@@ -28,7 +28,13 @@ GRADE = 13
 LEAST_WORDS = 20
 
 _FENCE = re.compile(r"^(```|~~~).*?^\1[^\n]*$|^(?:```|~~~).*\Z", re.MULTILINE | re.DOTALL)
-_LINE_END = re.compile(r"[.!?]+[\"'”’)\]]*(?:\s+(?![a-z])|\s*$)")
+_LINE_END = re.compile(r"\r\n|[\r\x85  ]")
+# What is not the document's own prose, by the start of its line: quotations, tables, headings, lists, logs, fields.
+_OTHER = re.compile(r"^[ \t]*(?:>|\||#{1,6}[ \t]|[-*+•–][ \t]|\d{1,3}[.)][ \t]|\[?\d{1,2}:\d{2}|\d{4}-\d\d-\d\d|[A-Z][a-z]+: |See \[|<[a-z/!])|^(?: {4}|\t)\S")
+_WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+_LOWER = re.compile(r"(?<![^\W_])[a-zß-öø-ÿ]+(?:[-'’][a-zß-öø-ÿ]+)*(?![^\W_])")
+_FIRST = re.compile(r"(?:^|[.!?][\"'”’)\]]*\s+)[\"'“‘(]*([^\W\d_a-z][^\W\d_]*(?:[-'’][^\W\d_]+)*)")
+_END = re.compile(r"[.!?]+[\"'”’)\]]*(?:\s+(?![a-z])|\s*$)")
 # Abbreviations after which a full stop ends no sentence.
 ABBREVIATIONS = frozenset("cf sect esp fig figs i.e e.g vs pp p ff vol vols no nos etc al dr mr mrs ms prof st jr sr inc ltd approx ca ed eds ch sec eq ref refs univ dept".split())
 
