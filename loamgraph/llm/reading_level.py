@@ -28,7 +28,7 @@ GRADE = 13
 LEAST_WORDS = 20
 
 _FENCE = re.compile(r"^(```|~~~).*?^\1[^\n]*$|^(?:```|~~~).*\Z", re.MULTILINE | re.DOTALL)
-_LINE_END = re.compile(r"\r\n|[\r\x85  ]")
+_LINE_END = re.compile(r"\r\n|[\r\x85\u2028\u2029]")
 # What is not the document's own prose, by the start of its line: quotations, tables, headings, lists, logs, fields.
 _OTHER = re.compile(r"^[ \t]*(?:>|\||#{1,6}[ \t]|[-*+•–][ \t]|\d{1,3}[.)][ \t]|\[?\d{1,2}:\d{2}|\d{4}-\d\d-\d\d|[A-Z][a-z]+: |See \[|<[a-z/!])|^(?: {4}|\t)\S")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")

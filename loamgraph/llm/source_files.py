@@ -16,11 +16,11 @@ from loamgraph.plans.shared import materialize
 #: Tokens in a fingerprinted gram; long enough that idioms of a language do not fill one.
 GRAM = 28
 #: Of so many successive grams winnowing keeps at least one; a shared run of GRAM + WINDOW - 1 tokens is never missed.
-WINDOW = 4
+WINDOW = 8
 #: A fingerprint recurs if it stands in files of so many repositories.
 REPOSITORIES = 3
 #: Share of a file's fingerprints that must recur; of short files, in which idioms weigh more, a larger one.
-RECURRING, RECURRING_SHORT, SHORT = 0.65, 0.9, 25
+RECURRING, RECURRING_SHORT, SHORT = 0.65, 0.9, 14
 
 # Endings of files that may hold code.
 CODE_ENDINGS = ("py", "js", "mjs", "cjs", "jsx", "ts", "tsx", "rs", "go", "c", "cc", "cpp", "cxx", "h", "hh", "hpp", "java", "kt", "scala", "rb", "php", "cs", "swift", "css", "lua", "pl", "sh", "sql")
@@ -184,10 +184,11 @@ def not_by_hand(nodes: DataFrame, chunks: DataFrame, *, repositories: int = REPO
     the weight from a repository full of one file; these counts are summed before the shuffle. Files shorter than a
     gram, like package markers, have no fingerprint and are no copies, however many there are.
     """
-    files = materialize(examine(code_files(nodes, chunks)), "files")
-    prints = files.select("path", repository_of(F.col("path")).alias("repository"), F.explode("fingerprints").alias("print"))
-    common = prints.select("print", "repository").distinct().groupBy("print").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= repositories).select("print")
-    met = prints.join(common, "print").groupBy("path").agg(F.count(F.lit(1)).alias("met"))
-    shared = files.select("path", "reason", F.size("fingerprints").alias("size")).join(met, "path", "left").withColumn("share", F.coalesce(F.col("met") / F.col("size"), F.lit(0.0)))
+    # numbers stand for paths and repositories in what is shuffled by fingerprint
+    files = materialize(examine(code_files(nodes, chunks)).withColumn("file", F.monotonically_increasing_id()), "files")
+    prints = files.select("file", F.xxhash64(repository_of(F.col("path"))).alias("repository"), F.explode("fingerprints").alias("print"))
+    common = prints.groupBy("print", "repository").agg(F.lit(1).alias("one")).groupBy("print").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= repositories).select("print")
+    met = prints.select("file", "print").join(common, "print").groupBy("file").agg(F.count(F.lit(1)).alias("met"))
+    shared = files.select("file", "path", "reason", F.size("fingerprints").alias("size")).join(met, "file", "left").withColumn("share", F.coalesce(F.col("met") / F.col("size"), F.lit(0.0)))
     enough = F.when(F.col("size") < SHORT, RECURRING_SHORT).otherwise(RECURRING)
     return shared.withColumn("reason", F.coalesce("reason", F.when(F.col("share") >= enough, "copy"))).where("reason IS NOT NULL").select("path", "reason", "share")
