@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from loamgraph.plans.shared import materialize
 
-#: Tokens in a fingerprinted gram; long enough that idioms of a language do not fill one.
-GRAM = 28
+#: Tokens in a fingerprinted gram: several functions' worth, so that idioms do not fill one however many files there are.
+GRAM = 56
 #: Of so many successive grams winnowing keeps at least one; a shared run of GRAM + WINDOW - 1 tokens is never missed.
 WINDOW = 8
 #: A fingerprint recurs if it stands in files of so many repositories.
 REPOSITORIES = 3
 #: Share of a file's fingerprints that must recur; of short files, in which idioms weigh more, a larger one.
-RECURRING, RECURRING_SHORT, SHORT = 0.65, 0.9, 14
+RECURRING, RECURRING_SHORT, SHORT = 0.5, 0.65, 14
 
 # Endings of files that may hold code.
 CODE_ENDINGS = ("py", "js", "mjs", "cjs", "jsx", "ts", "tsx", "rs", "go", "c", "cc", "cpp", "cxx", "h", "hh", "hpp", "java", "kt", "scala", "rb", "php", "cs", "swift", "css", "lua", "pl", "sh", "sql")
@@ -46,6 +46,8 @@ _COMMENT_LINE = re.compile(r"^\s*(?://|#(?!include|define|if|endif|else|pragma|!
 _BLOCK = re.compile(r"/\*.*?\*/|\"\"\".*?\"\"\"|'''.*?'''", re.DOTALL)
 _TO_END = re.compile(r"(?m)//[^\n]*$|^\s*#(?!include|define)[^\n]*$")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _NUMBERED = re.compile(r"[A-Za-z]_?\d+\b")
 _LITERAL = re.compile(r"\"[^\"]*(?:\"|\Z)|'[^'\n]*'|[-+]?\b(?:0[xX][0-9a-fA-F]+|\d[\d.]*(?:[eE][-+]?\d+)?)[fFuUlL]*\b|\b(?:true|false|null|None|nil)\b")
 
@@ -135,10 +137,12 @@ def fingerprints(text: str, gram: int = GRAM, window: int = WINDOW) -> np.ndarra
     for t in set(tokens):
         seen[t] = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
     ids = np.array([seen[t] for t in tokens], dtype=np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(gram):
-        out = (out ^ ids[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(31)
+    # a polynomial over the gram from prefix sums, modulo 2^64; the odd base has an inverse, which moves every gram to 0
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * np.cumprod(np.full(len(ids), _BASE)))])
+        out = (sums[gram:] - sums[:-gram]) * np.cumprod(np.full(n, _INVERSE))
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
     if n <= window:
         return np.array([out.min()]).view(np.int64)
     least = np.lib.stride_tricks.sliding_window_view(out, window).min(axis=1)
