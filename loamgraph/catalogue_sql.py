@@ -120,7 +120,7 @@ SQL: dict[str, str] = {
     "census_by_kind": _within(FILES, CLASSIFIED) + "SELECT " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in KINDS) + ", count(*) FILTER (kind IS NULL) AS skipped FROM classified",
     "census_samples": _within(FILES, CLASSIFIED) + "SELECT path FROM classified WHERE kind IS NOT NULL ORDER BY path LIMIT 12",
     "files_classified": _within(FILES, CLASSIFIED) + "SELECT path, ending, kind FROM classified",
-    "files_walk_filtered": _within(FILES) + f"SELECT path FROM files WHERE {_SKIPPED}",
+    "files_walk_filtered": _within(FILES, "moved AS (SELECT concat(CASE length(path) % 4 WHEN 0 THEN 'node_modules/' WHEN 1 THEN '.cache/' WHEN 2 THEN 'page_files/' ELSE '' END, path) AS path FROM files)") + f"SELECT path FROM moved WHERE {_SKIPPED}",
     "file_nodes_capped": _within(FILES, CLASSIFIED, KNOWN) + "SELECT id, kind, label FROM known ORDER BY id LIMIT 400",
     "strip_html_documents": "SELECT doc_id, " + _collapse("replace(regexp_replace(text, '<[^>]*(?:>|$)', '', 'g'), '>', '')") + " AS body FROM documents WHERE text IS NOT NULL",
     "chunk_caps": _within(CORPUS) + "SELECT path, chunk_index FROM (SELECT path, chunk_index, row_number() OVER (PARTITION BY path ORDER BY chunk_index) AS nth FROM corpus) WHERE nth <= 80 ORDER BY path, chunk_index LIMIT 400",
@@ -133,9 +133,8 @@ SQL: dict[str, str] = {
     "md_link_specs": _within(TEXTS, _specs("texts", "path", "text")) + "SELECT src, spec, count(*) AS n FROM specs GROUP BY ALL",
     "code_import_specs": _within(CORPUS, _specs("corpus", "path", "content")) + "SELECT src, spec, count(*) AS n FROM specs GROUP BY ALL",
     "import_resolve": _within(
-        CORPUS,
-        FILES,
-        _specs("corpus", "path", "content"),
+        """files AS (SELECT concat('docs/', doc_id, '.md') AS path, concat(coalesce(text, ''), chr(10), 'import x from ''./', doc_id + 1, '''', chr(10), '[a](./', doc_id + 2, '.md)') AS text FROM documents)""",
+        _specs("files", "path", "text"),
         r"local AS (SELECT src, row_number() OVER () AS nth, regexp_extract(src, '^(.*)/[^/]*$', 1) AS folder, regexp_replace(spec, '^(?:\./)+', '') AS bare FROM specs WHERE NOT regexp_matches(spec, '^(?:https?:|mailto:|crate:|@)'))",
         "tried AS (SELECT src, nth, CASE WHEN starts_with(bare, '/') OR folder = '' THEN bare ELSE folder || '/' || bare END AS start FROM local WHERE bare <> '' AND NOT starts_with(bare, 'node_modules/'))",
         "endings(place, e) AS (VALUES " + ", ".join(f"({i}, '{e}')" for i, e in enumerate(RESOLVED_ENDINGS)) + ")",
@@ -156,7 +155,7 @@ SQL: dict[str, str] = {
     "entity_mentions": _within(CORPUS, RAW, MENTIONS) + "SELECT slug, surface, path, chunk_index, n FROM mentions",
     "entity_top200": _within(CORPUS, RAW, MENTIONS, KEPT) + "SELECT id, slug, mentions FROM kept",
     "entity_names_aliases": _within(*LINKED, SURFACES) + "SELECT id, surface, n, rank FROM surfaces",
-    "entity_merge_notes": _within(*LINKED, SURFACES) + "SELECT id, any_value(surface) FILTER (rank = 1) AS name, string_agg(surface, '|' ORDER BY rank) FILTER (rank > 1) AS aliases, string_agg(surface, '|' ORDER BY rank) AS surfaces FROM surfaces GROUP BY id HAVING count(*) > 1",
+    "entity_merge_notes": _within("raw AS (SELECT path, chunk_index, surface AS raw, cnt AS n FROM sightings WHERE path IS NOT NULL AND chunk_index IS NOT NULL AND cnt IS NOT NULL)", MENTIONS, "named AS (SELECT 'entity:' || slug AS id, * FROM mentions)", SURFACES) + "SELECT id, any_value(surface) FILTER (rank = 1) AS name, string_agg(surface, '|' ORDER BY rank) FILTER (rank > 1) AS aliases, string_agg(surface, '|' ORDER BY rank) AS surfaces FROM surfaces GROUP BY id HAVING count(*) > 1",
     "entity_files_mentions": _within(*LINKED, MENTION_EDGES) + "SELECT * FROM mention_edges",
     "entity_sightings_top16": _within(*LINKED) + "SELECT * FROM (SELECT id, path, chunk_index, surface, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, path, chunk_index, surface) AS rank FROM named) WHERE rank <= 16",
     "entity_relates_to": _within(*LINKED, RELATED) + "SELECT * FROM related",

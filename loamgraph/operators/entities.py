@@ -31,7 +31,12 @@ def candidates(chunks: DataFrame) -> DataFrame:
 
 def mentions(chunks: DataFrame) -> DataFrame:
     """(slug, surface, path, chunk_index, n): the accepted names by entity; the base of all that follows."""
-    named = candidates(chunks).select("path", "chunk_index", "n", normal_name(F.col("raw")).alias("surface")).where("surface IS NOT NULL")
+    return accepted(candidates(chunks))
+
+
+def accepted(raw: DataFrame) -> DataFrame:
+    """The same of candidates (path, chunk_index, raw, n) found elsewhere; refused names are left out."""
+    named = raw.select("path", "chunk_index", "n", normal_name(F.col("raw")).alias("surface")).where("surface IS NOT NULL")
     keyed = named.withColumn("slug", slug(F.col("surface"))).where("length(slug) >= 2")
     return keyed.groupBy("slug", "surface", "path", "chunk_index").agg(F.sum("n").alias("n"))
 
