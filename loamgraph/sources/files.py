@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamgraph.functions.text import INGESTED, SKIPPED_FOLDERS, ending_of, kind_of, strip_html, walked, with_slashes
+from loamgraph.functions.whitespace import trim_spaces
 
 MOST_FILES, TEXT_BYTES, PDF_BYTES = 10_000, 2_000_000, 32_000_000
 
@@ -75,6 +76,6 @@ def read_texts(files: DataFrame, pdf_text: Callable[[bytes], str] | None = None)
         read = pdfs.withColumn("x", extracted("content"))
         texts = texts.unionByName(read.where("x.reason IS NULL").select("path", "kind", F.col("x.text").alias("text")))
         skipped = skipped.unionByName(read.where("x.reason IS NOT NULL").select("path", F.col("x.reason").alias("reason")))
-    blank = F.length(F.trim(F.col("text"))) == 0
+    blank = trim_spaces(F.col("text")) == ""
     skipped = skipped.unionByName(texts.where(blank).select("path", F.concat("path", F.lit(": empty")).alias("reason")))
     return texts.where(~blank), skipped
