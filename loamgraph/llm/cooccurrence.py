@@ -18,18 +18,22 @@ SPLIT_AT = 64
 def signed_pairs(rows: DataFrame, split_at: int = SPLIT_AT) -> DataFrame:
     """(item_a, item_b, n): the sum of ``sign`` over the baskets holding both, item_a < item_b, zeros left out.
 
-    ``rows`` is (path, chunk_index, item, sign) without repeats. Sums are taken before the shuffle by pair. The left
-    side of a basket is cut into slices by item and the right side repeated once a slice, so the pairs of one large
-    basket are made by as many tasks as it has slices.
+    ``rows`` is (path, chunk_index, item, sign) without repeats. Sums are taken before the shuffle by pair. Baskets of
+    up to ``split_at`` items meet themselves where they lie after one shuffle by basket. Larger ones are cut into
+    slices by item on the left and repeated once a slice on the right, so the pairs of one large basket are made by as
+    many tasks as it has slices.
     """
     keys = ["path", "chunk_index", "sign"]
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sized = rows.join(sizes, keys)
+    small = sized.where(F.col("size") <= split_at)
+    pairs = small.withColumnRenamed("item", "item_a").join(small.select(*keys, F.col("item").alias("item_b")), keys)
     slices = F.ceil(F.col("size") / split_at).cast("int")
-    left = sized.select(*keys, F.col("item").alias("item_a"), F.pmod(F.hash("item"), slices).alias("slice"))
-    right = sized.select(*keys, F.col("item").alias("item_b"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
-    pairs = left.join(right, [*keys, "slice"]).where("item_a < item_b")
-    return pairs.groupBy("item_a", "item_b").agg(F.sum("sign").cast("bigint").alias("n")).where("n <> 0")
+    large = sized.where(F.col("size") > split_at)
+    left = large.select(*keys, F.col("item").alias("item_a"), F.pmod(F.hash("item"), slices).alias("slice"))
+    right = large.select(*keys, F.col("item").alias("item_b"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+    every = pairs.select("item_a", "item_b", "sign").unionByName(left.join(right, [*keys, "slice"]).select("item_a", "item_b", "sign"))
+    return every.where("item_a < item_b").groupBy("item_a", "item_b").agg(F.sum("sign").cast("bigint").alias("n")).where("n <> 0")
 
 
 class PairTable:
@@ -82,6 +86,9 @@ class PairTable:
 
     def _merge(self, table: str, schema: str, delta: DataFrame, keys: list[str], version: int) -> None:
         tagged = delta.withColumn("bucket", self._bucket(*keys))
+        if not self.folders[table]:
+            self._store(table, tagged, set(), version)  # nothing to merge with
+            return
         folder = f"{self.root}/delta-{table}/v={version:06d}"
         tagged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
         touched = {int(name[7:]) for name in children(self.spark, folder) if name.startswith("bucket=")}
