@@ -116,7 +116,39 @@ INCIDENT = f"incident AS (SELECT rel, weight, CASE WHEN src = '{FOCUS}' THEN dst
 _XYZ = "round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z"
 _HEX = "'0123456789abcdef'"
 
+
+
+def _inside(i: str) -> str:
+    """Whether byte i (from 0) of the hexadecimal text h continues a character."""
+    return f"substr(h, 2 * ({i}) + 1, 1) IN ('8', '9', 'A', 'B')"
+
+
+def _forward(i: str) -> str:
+    return f"({i}) + CASE WHEN NOT {_inside(i)} THEN 0 WHEN NOT {_inside(f'{i} + 1')} THEN 1 WHEN NOT {_inside(f'{i} + 2')} THEN 2 ELSE 3 END"
+
+
+def _back(i: str) -> str:
+    return f"({i}) - CASE WHEN NOT {_inside(i)} THEN 0 WHEN NOT {_inside(f'{i} - 1')} THEN 1 WHEN NOT {_inside(f'{i} - 2')} THEN 2 ELSE 3 END"
+
+
+def _stop(source: str) -> str:
+    """Where the chunk that starts at ``start`` stops: after the last empty line or line end of its bytes, else hard."""
+    empty, line = "chr(10) || chr(10)", "chr(10)"
+    return f"""SELECT doc_id, h, n, start, CASE WHEN hard >= n THEN hard WHEN contains(w, {empty}) THEN hard - strlen(ltrim(list_last(string_split(w, {empty})), {line}))
+      WHEN contains(w, {line}) THEN hard - strlen(list_last(string_split(w, {line}))) ELSE hard END AS stop
+      FROM (SELECT *, decode(unhex(substr(h, 2 * start + 1, 2 * (hard - start)))) AS w FROM (SELECT *, {_forward('least(start + 1800, n)')} AS hard FROM ({source})))"""
+
+
+_ENDS = f"regexp_replace({{}}, '^{WS.replace('{', '{{').replace('}', '}}')}+|{WS.replace('{', '{{').replace('}', '}}')}+$', '', 'g')"
+_NEXT = _back("greatest(stop - 200, 0)")
+CHUNKED = [
+    f"whole AS (SELECT doc_id, hex(encode(t)) AS h, strlen(t) AS n, CAST(0 AS BIGINT) AS start FROM (SELECT doc_id, {_ENDS.format('text')} AS t FROM documents WHERE text IS NOT NULL) WHERE t <> '')",
+    f"cuts AS ({_stop('SELECT * FROM whole')} UNION ALL {_stop(f'SELECT doc_id, h, n, CASE WHEN {_NEXT} <= start THEN stop ELSE {_NEXT} END AS start FROM cuts WHERE stop < n')})",
+    f"pieces AS (SELECT doc_id, start, {_ENDS.format('decode(unhex(substr(h, 2 * start + 1, 2 * (stop - start))))')} AS content FROM cuts)",
+]
+
 SQL: dict[str, str] = {
+    "chunk_documents": _within(*CHUNKED) + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS chunk_index, content FROM pieces WHERE content <> ''",
     "census_by_kind": _within(FILES, CLASSIFIED) + "SELECT " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in KINDS) + ", count(*) FILTER (kind IS NULL) AS skipped FROM classified",
     "census_samples": _within(FILES, CLASSIFIED) + "SELECT path FROM classified WHERE kind IS NOT NULL ORDER BY path LIMIT 12",
     "files_classified": _within(FILES, CLASSIFIED) + "SELECT path, ending, kind FROM classified",

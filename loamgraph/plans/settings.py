@@ -23,7 +23,7 @@ class Settings:
     endpoint: Endpoint | None = None
     store_port: int = 0
     embed_port: int = 0
-    embed_model: str = "nomic"
+    embed_model: str = "hashing"
     extra: dict = field(default_factory=dict)
 
     @classmethod
