@@ -29,17 +29,21 @@ class Limits:
 
 @dataclass(frozen=True)
 class IngestReport:
+    """``truncated``: whether a cap cut chunks off; ``named``: whether any entity was found."""
+
     files: int
     chunks: int
     skipped: DataFrame
     stats: DataFrame
+    truncated: bool
+    named: bool
 
 
 class Engine:
     """State under one folder: the point collection and the tables of the last ingest, each replaced as a whole."""
 
-    def __init__(self, spark: SparkSession, home: str, embedder: Embedder | None = None, caps: entities.Caps = entities.Caps(), limits: Limits = Limits(), pdf_text: Callable[[bytes], str] | None = None):
-        self.spark, self.home, self.caps, self.limits, self.pdf_text = spark, home.rstrip("/"), caps, limits, pdf_text
+    def __init__(self, spark: SparkSession, home: str, embedder: Embedder | None = None, caps: entities.Caps = entities.Caps(), limits: Limits = Limits(), pdf_text: Callable[[bytes], str] | None = None, progress: Callable[[str], None] = lambda _: None):
+        self.spark, self.home, self.caps, self.limits, self.pdf_text, self.progress = spark, home.rstrip("/"), caps, limits, pdf_text, progress
         self.embedder = embedder or HashingEmbedder()
         self.points = Collection(spark, f"{self.home}/points", self.embedder.dims).ensure()
 
@@ -74,12 +78,17 @@ class Engine:
         return self._take(texts, folder, nodes, edges, self.spark.createDataFrame([], "path string, reason string"), complete)
 
     def _take(self, texts: DataFrame, folder: str, nodes: DataFrame, edges: DataFrame, skipped: DataFrame, complete: Callable[[str], str] | None) -> IngestReport:
-        cut = chunk_documents(texts, "path")
+        self.progress("cutting texts")
+        cut = materialize(chunk_documents(texts, "path"), "cut")
         chunks = self._store("chunks", filegraph.capped_chunks(cut, self.limits.chunks_per_file, self.limits.chunks))
+        self.progress("embedding chunks")
         self.points.replace_folder(make_points(embed(chunks, "content", self.embedder), folder))
         self._store("nodes-files", nodes)
         self._store("edges-files", edges)
-        return IngestReport(texts.count(), chunks.count(), skipped, self.rebuild_entities(complete))
+        self.progress("linking entities")
+        stats = self.rebuild_entities(complete)
+        kept = chunks.count()
+        return IngestReport(texts.count(), kept, skipped, stats, kept < cut.count(), bool(self.table("entities").limit(1).count()))
 
     def rebuild_entities(self, complete: Callable[[str], str] | None = None) -> DataFrame:
         """Link the stored chunks anew, judge the names if a client is given, and graft all on the file graph."""

@@ -10,6 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from loamgraph.plans.session import build_session
 
-    session = build_session("tests", 4, 4, "4g")
+    session = build_session("tests", 4, 2, "4g")
     yield session
     session.stop()

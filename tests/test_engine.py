@@ -44,8 +44,9 @@ def test_reading(spark, folder):
 
 
 def test_engine(spark, folder, tmp_path):
-    engine = Engine(spark, str(tmp_path / "home"), limits=Limits(None, None, None))
+    engine = Engine(spark, str(tmp_path / "home"), limits=Limits(None, None, None), progress=(said := []).append)
     report = engine.ingest(folder)
+    assert report.named and not report.truncated and len(said) == 3
     assert report.files == 5 and report.stats.first()["entities"] >= 2
     edges = {(r["src"], r["dst"], r["rel"]) for r in engine.table("edges").collect()}
     assert ("src/a.ts", "src/b.ts", "imports") in edges and ("alpha.md", "beta.md", "imports") in edges and ("entity:claude-shannon", "entity:information-theory", "relates_to") in edges
