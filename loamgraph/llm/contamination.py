@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamgraph.llm.batches import portions
+
 #: Words in a shingle; also the shortest run that counts.
 RUN = 5
 #: Share of an item's words that must stand in a document.
@@ -173,7 +175,7 @@ def _search_broadcast(documents: DataFrame, items: dict[int, list[str]], share:
         wanted = {w for words in sent.value.values() for w in words}
         seen: dict[str, int] = {}
         word_hash(sorted(wanted), seen)
-        for batch in batches:
+        for batch in portions(batches):
             rows: list[tuple[int, int, float]] = []
             keys, texts = batch.column(0).to_pylist(), [words_of(t) for t in batch.column(1).to_pylist()]
             # words of no item need not be told apart; a 0 also keeps runs from crossing into the next text

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from statistics import median
 
 import numpy as np
@@ -12,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgraph.llm.batches import portions
 from loamgraph.plans.shared import materialize
 
 #: The longest familiar-word list; with words of 10 letters about 1 MB, so it can be sent to every executor.
@@ -24,6 +26,8 @@ LONGEST = 60
 DEFAULT_FORMULA = (2.0, 14.0, 0.2, 11.0)
 LEAST_LABELS = 60
 GRADE = 13
+#: Counts a task holds before it passes them on.
+MOST_COUNTS = 300_000
 #: With fewer words of its own a document has no level.
 LEAST_WORDS = 20
 
@@ -96,18 +100,25 @@ def _word_bin(words: list[str]) -> int:
 def document_frequencies(documents: DataFrame) -> DataFrame:
     """(bin, word, n): in how many documents each word stands, by the documents' mean word length in tenths.
 
-    The word is null in the rows that count documents. Counts are summed in each batch, so what is shuffled grows with
-    the vocabulary."""
+    The word is null in the rows that count documents. Counts are summed in each task, so what is shuffled grows
+    with the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: dict[int, Counter] = {}
+        counts: Counter = Counter()
+
+        def told() -> pa.RecordBatch:
+            bins, words = zip(*counts, strict=True) if counts else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["bin", "word", "n"])
+
+        for batch in portions(batches):
             for text in batch.column(0).to_pylist():
                 words = prose_words(own_prose(text))
                 if words:
-                    counts.setdefault(_word_bin(words), Counter()).update([*set(words), None])
-            rows = [(b, w, n) for b, c in counts.items() for w, n in c.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64()))], names=["bin", "word", "n"])
+                    counts.update(zip(repeat(_word_bin(words)), [*set(words), None], strict=False))
+            if len(counts) > MOST_COUNTS:
+                yield told()
+                counts.clear()
+        yield told()
 
     return documents.select("text").mapInArrow(run, "bin int, word string, n bigint").groupBy("bin", "word").agg(F.sum("n").alias("n"))
 
@@ -142,7 +153,7 @@ def features(documents: DataFrame, familiar: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for batch in batches:
+        for batch in portions(batches):
             rows: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 paragraphs = own_prose(text)

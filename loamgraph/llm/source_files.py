@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgraph.llm.batches import portions
 from loamgraph.plans.shared import materialize
 
 #: Tokens in a fingerprinted gram: several functions' worth, so that idioms do not fill one however many files there are.
@@ -156,7 +157,7 @@ def examine(files: DataFrame) -> DataFrame:
     """(path, reason, fingerprints) of files given as (path, chunks array<struct<chunk_index, content>>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             paths, reasons, prints = [], [], []
             for path, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = merge_chunks(sorted({(c["chunk_index"], c["content"]) for c in chunks or []}))

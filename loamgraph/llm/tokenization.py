@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgraph.llm.batches import portions
+
 DEFAULT_FOLDER = "/opt/tokenizers"
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: The byte-level pre-tokenizer's pattern; a test holds it against the tokenizer file for every code point.
@@ -105,7 +107,7 @@ def encode(texts: DataFrame, *, key: str = "doc_id", text: str = "text", tokeniz
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(tokenizer)
-        for batch in batches:
+        for batch in portions(batches):
             ids, ends = encoder(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), _list_array(ids, ends)], names=[key, "ids"])
 
@@ -122,7 +124,7 @@ def encode_with_offsets(texts: DataFrame, *, key: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(tokenizer)
         width = np.array([len(encoder.tokenizer.id_to_token(i) or "") for i in range(encoder.tokenizer.get_vocab_size())])
-        for batch in batches:
+        for batch in portions(batches):
             rows = batch.column(1).to_pylist()
             ids, ends = encoder(rows)
             starts_at, ends_at = np.zeros(len(ids), np.int32), np.zeros(len(ids), np.int32)
@@ -151,7 +153,7 @@ def decode(encoded: DataFrame, *, key: str = "doc_id", ids: str = "ids", tokeniz
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, vocabulary = byte_table(), _tokenizer(tokenizer)
         raw = [bytes(table[c] for c in token) if all(c in table for c in token) else token.encode() for token in (vocabulary.id_to_token(i) or "" for i in range(vocabulary.get_vocab_size()))]
-        for batch in batches:
+        for batch in portions(batches):
             out = [b"".join(raw[i] for i in row or [] if i is not None).decode("utf-8", "replace") for row in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[key, "text"])
 
