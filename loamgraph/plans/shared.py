@@ -27,8 +27,17 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/loamgraph-{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; results not yet used are gone with it."""
+    remove(spark, _application_folder(spark))
 
 
 def materialize(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
