@@ -16,8 +16,6 @@ from loamgraph.plans.shared import materialize
 
 #: A given name in use: this share of the names of persons, and at least so many, begin or end with it.
 GIVEN_SHARE, GIVEN_LEAST, GIVEN_MOST = 0.002, 3, 5_000
-#: Tokens in more names than this share a block only with names that also agree in a further letter.
-HOT = 200
 #: Least Jaro-Winkler similarity of two spellings of a token that are one slip apart, as written and by sound.
 SIMILAR, SIMILAR_SOUND = 0.85, 0.9
 
@@ -205,14 +203,23 @@ class Names:
         return []
 
 
-def blocks(reading: str) -> list[tuple[str, str]]:
-    """(token, further letters) to block a reading by: the surname with the given name's letter, or each token of an organisation."""
+def blocks(reading: str) -> list[tuple[str, str, bool]]:
+    """(token, rest, looks): two readings can only be the same if they have alike tokens with an equal rest.
+
+    A person has the surname with the given name's letter. An organisation has each token that may be misspelt, with
+    all its other tokens and, to be found by an acronym, with their first letters; an acronym looks by its letters."""
     kind, tokens, *rest = reading.split("|")
     if kind == "p":
-        return [(tokens, letter) for letter in sorted({g[0] for g in rest[0].split("/") if g})]
+        return [(tokens, letter, True) for letter in sorted({g[0] for g in rest[0].split("/") if g})]
     words = tokens.split()
-    own = [w for w in words if w not in ORGANISATION and len(w) >= 4 and w.isalpha()] or [w for w in words if w not in ORGANISATION]
-    return [(w, "") for w in own]
+    if rest[0]:
+        return [(words[0], "~" + "".join(sorted(rest[0])), True)]
+    found = []
+    for w in {w for w in words if w not in ORGANISATION} or {min(words)}:
+        others = sorted(words)
+        others.remove(w)
+        found += [(w, "=" + " ".join(others), True), (w, "~" + "".join(sorted(t[0] for t in others)), False)]
+    return found
 
 
 def relation(a: str, b: str) -> int:
@@ -286,10 +293,10 @@ def read_names(entities: DataFrame, given: frozenset[str]) -> DataFrame:
 def _keys(readings: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(r, token, letters) for r in batch.column(0).to_pylist() for token, letters in blocks(r)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in range(3)], names=["reading", "token", "letters"])
+            rows = [(r, *block) for r in batch.column(0).to_pylist() for block in blocks(r)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.string(), pa.string(), pa.bool_()))], names=["reading", "token", "rest", "looks"])
 
-    return readings.mapInArrow(run, "reading string, token string, letters string")
+    return readings.mapInArrow(run, "reading string, token string, rest string, looks boolean")
 
 
 def _codes(tokens: DataFrame) -> DataFrame:
@@ -324,29 +331,22 @@ def _related(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a string, b string, relation int")
 
 
-def candidate_pairs(readings: DataFrame, hot: int = HOT) -> DataFrame:
-    """(a, b) with a < b: readings that share a block.
+def candidate_pairs(readings: DataFrame, hot: int | None = None) -> DataFrame:
+    """(a, b) with a < b: readings that share a block, among them all that ``relation`` finds the same.
 
-    Blocks are made of alike tokens (by phonetic codes, each token once, whatever its frequency) and, for persons, the
-    letter of the given name. A token in more than ``hot`` readings blocks an organisation only where the reading has
-    no rarer one (two names of one organisation share the rare token too), and then by each further token's letter.
+    Blocks are made of alike tokens (by phonetic codes, each token once, whatever its frequency) and the rest that has
+    to be equal: for persons the letter of the given name, for organisations the other tokens or, where one is an
+    acronym, their letters. So a frequent token needs no bound; ``hot`` is still accepted and changes nothing.
     """
-    keys = materialize(_keys(readings), "keys")
-    frequency = keys.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    organisation = F.col("reading").startswith("o|")
-    known = keys.join(frequency, "token")
-    rarest = known.groupBy("reading").agg(F.min("n").alias("least"))
-    kept = known.join(rarest, "reading").where(~organisation | (F.col("n") <= hot) | (F.col("n") == F.col("least")))
-    more = F.when(organisation & (F.col("n") > hot), F.transform(F.split(F.split_part("reading", F.lit("|"), F.lit(2)), " "), lambda t: F.substring(t, 1, 1))).otherwise(F.array("letters"))
-    blocked = materialize(kept.select("reading", "token", F.explode(F.array_distinct(more)).alias("letters"), organisation.alias("o")), "blocked")
+    blocked = materialize(_keys(readings), "blocked")
     alike_pairs = materialize(_alike_tokens(blocked.select("token").distinct()), "alike")
-    left = blocked.select(F.col("reading").alias("a"), F.col("token").alias("ta"), "letters", "o")
-    right = blocked.select(F.col("reading").alias("b"), F.col("token").alias("tb"), "letters", "o")
-    joined = left.join(alike_pairs.select(F.col("a").alias("ta"), F.col("b").alias("tb")), "ta").join(right, ["tb", "letters", "o"])
-    return joined.where("a < b").select("a", "b").distinct()
+    left = blocked.where("looks").select(F.col("reading").alias("a"), F.col("token").alias("ta"), "rest")
+    right = blocked.select(F.col("reading").alias("b"), F.col("token").alias("tb"), "rest", "looks")
+    joined = left.join(alike_pairs.select(F.col("a").alias("ta"), F.col("b").alias("tb")), "ta").join(right, ["tb", "rest"])
+    return joined.where("a < b OR NOT looks").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def variants(entities: DataFrame, hot: int = HOT) -> DataFrame:
+def variants(entities: DataFrame, hot: int | None = None) -> DataFrame:
     """(id, component): entities that name the same person or organisation, for those that have another of their kind.
 
     Names are read as persons (surname, given name through the nickname table, initials, titles dropped, any order) or

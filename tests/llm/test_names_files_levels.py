@@ -43,6 +43,23 @@ def test_hot_tokens_still_meet(spark):
     assert {tuple(r) for r in nv.candidate_pairs(read, hot=2).collect()} == {tuple(r) for r in nv.candidate_pairs(read).collect()}
 
 
+def test_organisations_of_a_frequent_token_all_meet(spark):
+    crowd = [f"Harlow {w} Laboratory" for w in ("Amber", "Birch", "Cedar", "Dahlia")] + ["Nimbus Foundation", "Opal Foundation", "Ruby Society of Marine Data", "Pearl Society of Marine Data"]
+    names = ["Harlow Foundation", "Harlwo Foundation", "Harlow Society of Marine Data", "Harlwo Society of Marine Data", "Society of Marine Data, Harlow", "Harlow SMD", "Harlwo SMD", "Nox Society of Marine Data", "Nox SMD", "International Research Group", "Research Group International"]
+    given = nv.Names(frozenset())
+    readings = sorted({r for n in crowd + names for r in given.read(n, "organization")})
+    want = {(a, b, r) for a in readings for b in readings if a < b and (r := nv.relation(a, b))}
+    assert len(want) >= 12
+    for hot in (2, 200):
+        pairs = {tuple(r) for r in nv.candidate_pairs(spark.createDataFrame([(r,) for r in readings], "reading string"), hot=hot).collect()}
+        assert {(a, b, r) for a, b in pairs if (r := nv.relation(a, b))} == want
+    frame = spark.createDataFrame([(f"o{i:02d}", n, "organization", "x", "y", 1) for i, n in enumerate(names + crowd)], ENTITIES)
+    groups = [(0, 1), (2, 3, 4, 5, 6), (7, 8), (9, 10)]
+    linked = {(f"o{a:02d}", f"o{b:02d}") for g in groups for a in g for b in g if a < b}
+    members = [tuple(r) for r in nv.variants(frame, hot=2).collect()]
+    assert {(a, b) for a, ca in members for b, cb in members if a < b and ca == cb} == linked
+
+
 def test_similarity():
     assert abs(nv.jaro_winkler("martha", "marhta") - 0.961111) < 1e-5 and abs(nv.jaro_winkler("dixon", "dicksonx") - 0.813333) < 1e-5
     assert nv.edits("abcd", "abdc") == 1 and nv.edits("abcd", "bad") == 2
