@@ -79,7 +79,9 @@ class Engine:
 
     def _take(self, texts: DataFrame, folder: str, nodes: DataFrame, edges: DataFrame, skipped: DataFrame, complete: Callable[[str], str] | None) -> IngestReport:
         self.progress("cutting texts")
-        cut = materialize(chunk_documents(texts, "path"), "cut")
+        # one chunk beyond the bound of a file tells that it cut
+        most = None if self.limits.chunks_per_file is None else self.limits.chunks_per_file + 1
+        cut = materialize(chunk_documents(texts, "path", most=most), "cut")
         chunks = self._store("chunks", filegraph.capped_chunks(cut, self.limits.chunks_per_file, self.limits.chunks))
         self.progress("embedding chunks")
         self.points.replace_folder(make_points(embed(chunks, "content", self.embedder), folder))

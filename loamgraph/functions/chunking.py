@@ -49,7 +49,7 @@ def chunks_of(text: str | None, size: int = SIZE, overlap: int = OVERLAP, most:
     return pieces
 
 
-def chunk_documents(documents: DataFrame, key: str, text: str = "text", **sizes: int) -> DataFrame:
+def chunk_documents(documents: DataFrame, key: str, text: str = "text", **sizes: int | None) -> DataFrame:
     """(key, chunk_index, content) of every document, over Arrow batches and without a shuffle."""
     kind = documents.schema[key].dataType.simpleString()
 

@@ -15,11 +15,13 @@ def stream_texts(spark: SparkSession, folder: str, files_per_batch: int = 1000)
     return spark.readStream.schema("path string, text string").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def ingest_stream(texts: DataFrame, collection: Collection, embedder: Embedder, folder: str, checkpoint: str) -> StreamingQuery:
-    """Chunk, embed and upsert each micro-batch; point ids follow from the path, so a batch done twice changes nothing."""
+def ingest_stream(texts: DataFrame, collection: Collection, embedder: Embedder, folder: str, checkpoint: str, chunks_per_file: int | None = None) -> StreamingQuery:
+    """Chunk, embed and upsert each micro-batch; point ids follow from the path, so a batch done twice changes nothing.
+
+    Texts are taken whole, unless ``chunks_per_file`` bounds them."""
 
     def take(batch: DataFrame, _: int) -> None:
-        cut = chunk_documents(batch.dropDuplicates(["path"]), "path")
+        cut = chunk_documents(batch.dropDuplicates(["path"]), "path", most=chunks_per_file)
         collection.upsert(make_points(embed(cut, "content", embedder), folder))
 
     return texts.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

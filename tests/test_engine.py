@@ -86,6 +86,26 @@ def test_streaming_ingest(spark, tmp_path):
     assert {r["rel_path"]: r["content"] for r in store.read().collect()} == {"0.md": "first", "1.md": "second", "same.md": "second"}
 
 
+@pytest.mark.parametrize(("most", "cut"), [(None, False), (420, True)])
+def test_long_texts_are_taken_whole(spark, tmp_path, most, cut):
+    texts = spark.createDataFrame([("long.md", "\n".join(f"line {i} of a long text without names" for i in range(20_000)) + "\nthe very end")], "path string, text string")
+    engine = Engine(spark, str(tmp_path / "home"), HashingEmbedder(8), limits=Limits(None, most, None))
+    report = engine.ingest_table(texts, "long")
+    assert report.truncated is cut and (report.chunks == 420 if cut else report.chunks > 420)
+    assert bool(engine.table("chunks").where("content LIKE '%the very end'").count()) is not cut
+
+
+def test_a_stream_takes_long_texts_whole(spark, tmp_path):
+    text = "\n".join(f"line {i} of a long text without names" for i in range(20_000)) + "\nthe very end"
+    spark.createDataFrame([("long.md", text)], "path string, text string").write.parquet(str(tmp_path / "in"))
+    counts = []
+    for most in (None, 420):
+        store = Collection(spark, str(tmp_path / f"points{most}"), 8).ensure()
+        ingest_stream(stream_texts(spark, str(tmp_path / "in")), store, HashingEmbedder(8), "live", str(tmp_path / f"state{most}"), chunks_per_file=most).awaitTermination()
+        counts.append((store.count() > 420, store.read().where("content LIKE '%the very end'").count()))
+    assert counts == [(True, 1), (False, 0)]
+
+
 def test_embedding(spark):
     e = HashingEmbedder(8)
     frame = embed(spark.createDataFrame([("a b",), (None,)], "t string"), "t", e)
