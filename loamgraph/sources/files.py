@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from loamgraph.functions.text import INGESTED, SKIPPED_FOLDERS, ending_of, kind_of, strip_html, walked, with_slashes
 from loamgraph.functions.whitespace import trim_spaces
+from loamgraph.plans.shared import _hadoop_path
 
 MOST_FILES, TEXT_BYTES, PDF_BYTES = 10_000, 2_000_000, 32_000_000
 
@@ -36,14 +37,64 @@ def list_files(root: str, most: int | None = MOST_FILES) -> tuple[list[str], boo
 def read_folder(spark: SparkSession, root: str, *, glob: str | None = None) -> DataFrame:
     """(path, length, modified, content) of every file, read by the executors; the content is only loaded where selected.
 
-    Names beginning with ``_`` or ``.`` are not listed by this source; ``list_files`` sees them."""
+    Spark's source lists no names beginning with ``_`` or ``.``; those are listed here and read by path."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     base = root.rstrip("/") + "/"
     rel = with_slashes(F.regexp_replace("path", "^(?:file:/*)?/?" + base.lstrip("/").replace(".", r"\."), ""))
     files = reader.load(root).select(rel.alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
-    return files.where(walked(F.col("path")))
+    return files.where(walked(F.col("path"))).unionByName(_read_hidden(spark, root, glob))
+
+
+def _left_out(name: str) -> bool:
+    """Whether Spark's file sources pass over a file or folder of this name."""
+    return (name.startswith("_") and "=" not in name and not name.startswith(("_common_metadata", "_metadata"))) or name.startswith(".") or name.endswith("._COPYING_")
+
+
+def _hidden_local(root: str) -> list[tuple[str, int, float]]:
+    names = [n for n in list_files(root, None)[0] if any(map(_left_out, n.split("/")))]
+    return [(n, at.st_size, at.st_mtime) for n in names for at in [os.stat(os.path.join(root, n))]]
+
+
+def _hidden_remote(where, fs) -> list[tuple[str, int, float]]:
+    """The same by the Hadoop file system."""
+    found, open_ = [], [(where, "", False)]
+    while open_:
+        folder, base, hidden = open_.pop()
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            if status.isDirectory():
+                if not (name.startswith(".") or name.endswith("_files") or name in SKIPPED_FOLDERS):
+                    open_.append((status.getPath(), f"{base}{name}/", hidden or _left_out(name)))
+            elif status.isFile() and not name.startswith("~$") and (hidden or _left_out(name)):
+                found.append((base + name, status.getLen(), status.getModificationTime() / 1000))
+    return found
+
+
+def _read_hidden(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
+    where, fs = _hadoop_path(spark, root)
+    whole = fs.makeQualified(where).toUri()
+    local = fs.getScheme() == "file"
+    base = whole.getPath() if local else whole.toString()
+    found = _hidden_local(base) if local else _hidden_remote(where, fs)
+    if glob:
+        pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(glob)
+        found = [row for row in found if pattern.matches(row[0].rsplit("/", 1)[-1])]
+
+    @F.udf(T.BinaryType())
+    def content(path):
+        if local:
+            with open(os.path.join(base, path), "rb") as file:
+                return file.read()
+        from pyarrow.fs import FileSystem
+
+        store, folder = FileSystem.from_uri(base)
+        with store.open_input_stream(f"{folder.rstrip('/')}/{path}") as file:
+            return file.read()
+
+    rows = spark.createDataFrame(found, "path string, length bigint, seconds double")
+    return rows.select("path", "length", F.timestamp_seconds("seconds").alias("modified"), content("path").alias("content"))
 
 
 def read_texts(files: DataFrame, pdf_text: Callable[[bytes], str] | None = None) -> tuple[DataFrame, DataFrame]:
