@@ -94,7 +94,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
-    return _levels(spark, sf)
+    return reading_level.all_reading_levels(load(spark, sf, "documents"), load(spark, sf, "reading_labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

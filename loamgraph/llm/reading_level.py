@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ GRADE = 13
 MOST_COUNTS = 300_000
 #: With fewer words of its own a document has no level.
 LEAST_WORDS = 20
+#: A language with fewer documents has no list: each word of one document would reach FAMILIAR_SHARE.
+LEAST_LISTED = 50
 
 _FENCE = re.compile(r"^(```|~~~).*?^\1[^\n]*$|^(?:```|~~~).*\Z", re.MULTILINE | re.DOTALL)
 _LINE_END = re.compile(r"\r\n|[\r\x85\u2028\u2029]")
@@ -211,6 +214,35 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, lang: str = "en")
     """
     ours = documents.where(F.col("lang") == lang).select("doc_id", "text")
     measured = materialize(features(ours, familiar_words(ours)), "measured")
-    constant, of_words, of_length, cut = fit(measured, labels)
+    return _levels(measured, fit(measured, labels))
+
+
+def _levels(measured: DataFrame, formula: tuple[float, float, float, float]) -> DataFrame:
+    constant, of_words, of_length, cut = formula
     level = F.lit(constant) + F.lit(of_words) * F.col("unfamiliar") + F.lit(of_length) * F.least(F.col("sentence"), F.lit(float(LONGEST)))
     return measured.withColumn("level", F.when(F.col("n_words") >= LEAST_WORDS, level)).withColumn("demanding", F.coalesce(F.col("level") >= cut, F.lit(False)))
+
+
+def all_reading_levels(documents: DataFrame, labels: DataFrame, *, lang: str = "en") -> DataFrame:
+    """The columns of ``reading_levels`` for every document, those in ``lang`` as there.
+
+    Each language has a familiar-word list of its own; the weights and the cut are those of ``lang``, the only one with
+    grades. A document without a language has the list that leaves the fewest of its words unfamiliar. In a language of
+    fewer than LEAST_LISTED documents the unfamiliar share and the level are null, as there is no list."""
+    counts = dict(documents.where("lang IS NOT NULL").groupBy("lang").count().collect())  # one row a language
+    listed = sorted(k for k, n in counts.items() if k == lang or n >= LEAST_LISTED)
+    texts = {k: documents.where(F.col("lang") == k).select("doc_id", "text") for k in listed}
+    familiar = {k: familiar_words(t) for k, t in texts.items()}
+    measured = features(documents.where(F.col("lang").isNotNull() & ~F.col("lang").isin(listed)), []).withColumn("unfamiliar", F.lit(None).cast("double"))
+    unknown = documents.where("lang IS NULL")
+    if not listed:
+        measured = measured.unionByName(features(unknown, []).withColumn("unfamiliar", F.lit(None).cast("double")))
+    else:
+        tried = functools.reduce(DataFrame.unionByName, (features(unknown, familiar[k]) for k in listed))
+        best = tried.groupBy("doc_id").agg(F.min(F.struct("unfamiliar", "n_words", "n_sentences", "sentence")).alias("x"))
+        measured = measured.unionByName(best.select("doc_id", "x.*"))
+    measured = measured.withColumn("lang", F.lit(None).cast("string"))
+    for k in listed:
+        measured = measured.unionByName(features(texts[k], familiar[k]).withColumn("lang", F.lit(k)))
+    measured = materialize(measured, "measured")
+    return _levels(measured.drop("lang"), fit(measured.where(F.col("lang") == lang).drop("lang"), labels))

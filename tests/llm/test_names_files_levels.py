@@ -142,6 +142,25 @@ def test_reading_levels(spark):
     assert rl.reading_levels(frame.limit(0), labels).count() == 0
 
 
+def test_every_document_has_a_level(spark):
+    easy, hard = "Die alte Frau sieht den roten Hut und geht mit dem Hund zum Baum. " * 4, "Das hermeneutisch kontextualisierte, epistemologisch fundierte Theorem problematisiert kontrafaktisch parametrisierte, axiomatisch inkommensurable Systeme. " * 4
+    docs = [(i, f"{EASY} {EASY}", "en") for i in range(60)] + [(100 + i, HARD + " " + HARD, "en") for i in range(10)] + [(200 + i, easy, "de") for i in range(60)]
+    docs += [(300, hard, "de"), (301, easy, None), (302, hard, None), (303, None, None), (304, " ", "de"), (305, easy, "xx"), (306, f"{EASY} {EASY}", None), (307, None, "xx")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(d, "a", 2 if d < 100 else 15) for d, _, _ in docs[:70]], "doc_id bigint, rater string, grade int")
+    rows = [tuple(r) for r in rl.all_reading_levels(frame, labels).collect()]
+    assert sorted(r[0] for r in rows) == sorted(d for d, *_ in docs)
+    english = [tuple(r) for r in rl.reading_levels(frame, labels).collect()]
+    assert sorted(english) == sorted(r for r in rows if r[0] < 200)
+    level = {r[0]: r[5] for r in rows}
+    assert level[300] > level[200] and level[301] == level[200] and level[302] == level[300] and level[306] == level[0]
+    assert all(level[d] is None for d in (303, 304, 305, 307)) and not any(r[6] for r in rows if r[0] in (303, 304, 305, 307))
+    from loamgraph.llm.queries import QUERIES
+
+    sf001 = "/root/testdata/sf0.001"
+    assert QUERIES["p8_levels"](spark, sf001).select("doc_id").distinct().count() == spark.read.parquet(f"{sf001}/documents.parquet").count()
+
+
 def test_sentences():
     text = 'It is, i.e. by Dr. Who, as in Fig. 3, vs. the rest. "Is it?" she said. Go! A list of things, no sentence'
     assert rl.sentences(text) == ["It is, i.e. by Dr. Who, as in Fig. 3, vs. the rest. ", '"Is it?" she said. ', "Go! "]
