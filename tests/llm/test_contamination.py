@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -65,20 +66,63 @@ def test_ways_of_writing():
         assert c.words_of(text) == plain
 
 
-def test_fewest_shingles():
-    assert [c.least_shingles(w) for w in (5, 8, 9, 50)] == [1, 1, 2, 6]
-
-
-@given(st.integers(5, 60), st.randoms(use_true_random=False))
-def test_the_sketch_loses_no_item(n, rnd):
-    words = [f"w{i}" for i in range(n)]
-    item = c.sketch_item(words)
-    # runs of five with gaps, as few shingles as there can be
-    kept, document, at = 0, [], 0
-    while kept < 0.6 * n and at + 5 <= n:
-        document += [*words[at : at + 5], "gap"]
-        kept += 5
-        at += 5 + rnd.choice([0, 1, 2, 3])
-    if c.covered_share(words, c.shingles_of(document)) >= 0.6:
-        met = set(c.shingle_hash(c.word_hash(document, {})).tolist()) & set(item.sketch.tolist())
-        assert len(met) >= item.hits
+def overlapping(n, apart=0, most=2000):
+    """An item of n words and documents with two of its runs of five, which may overlap in it but stand apart."""
+    item = [f"w{i}" for i in range(n)]
+    docs = []
+    for a in range(n - 4):
+        for b in range(a + apart, n - 4):
+            docs.append([*item[a : a + 5], "gap", *item[b : b + 5]])
+    return item, docs[:most]
+
+
+@pytest.mark.parametrize("n", [5, 6, 8, 9, 14, 15, 16, 23])
+def test_runs_that_overlap_in_the_item_are_met(n):
+    words, docs = overlapping(n)
+    item = c.sketch_items({1: words})[1]
+    for document in docs:
+        if c.covered_share(words, c.shingles_of(document)) >= 0.6:
+            met = set(c.shingle_hash(c.word_hash(document, {})).tolist()) & set(item.sketch.tolist())
+            assert len(met) >= item.hits
+
+
+def test_overlapping_runs_by_both_ways(spark):
+    items, docs = [], []
+    for n in (9, 14, 15, 23):
+        words, texts = overlapping(n)
+        items.append((n, " ".join(f"{w}x{n}" for w in words)))
+        docs += [(1000 * n + i, " ".join(w if w == "gap" else f"{w}x{n}" for w in t)) for i, t in enumerate(texts)]
+    want = brute(docs, items)
+    assert len(want) > 50
+    d, i = frames(spark, docs, items)
+    for words in (c.BROADCAST_WORDS, 0):
+        assert {(r["doc_id"], r["item_id"]) for r in c.leaked_items(d, i, broadcast_words=words).collect()} == want
+
+
+def test_stock_phrases_come_last():
+    phrase = "read the passage and choose the best answer".split()
+    items = {k: phrase + [f"w{k}-{i}" for i in range(30)] for k in range(20)}
+    stock = set(c.shingle_hash(c.word_hash(phrase, {})).tolist())
+    for item in c.sketch_items(items).values():
+        assert not stock & set(item.sketch.tolist()) and len(item.sketch) < len(item.words) - 4
+
+
+def test_sizes_set_the_hits():
+    assert [c.class_hits(k) for k in (0, 3, 5, 6, 8)] == [1, 1, 2, 4, 15]
+    long, short = [f"w{i}" for i in range(300)], [f"v{i}" for i in range(12)]
+    items = c.sketch_items({1: long, 2: short})
+    assert items[1].hits > items[2].hits == 1
+    assert set(c.SketchIndex(items).classes) == {items[1].hits, 1}
+
+
+@given(st.integers(5, 80), st.integers(1, 6), st.randoms(use_true_random=False))
+def test_the_sketch_loses_no_item(n, kinds, rnd):
+    # few kinds of words make repeated shingles; runs of five and more at any place, overlapping or not
+    words = [f"w{i}" if kinds > 3 else f"w{rnd.randrange(kinds)}" for i in range(n)]
+    item = c.sketch_items({1: words, 2: words[: n // 2]})[1]
+    document = []
+    while c.covered_share(words, there := c.shingles_of(document)) < 0.6:
+        at = rnd.randrange(n - 4)
+        document += [*words[at : at + rnd.choice([5, 5, 5, 7])], "gap"]
+    met = {hash_ for hash_ in c.shingle_hash(c.word_hash(document, {})).tolist()} & set(item.sketch.tolist())
+    assert there and len(met) >= item.hits
