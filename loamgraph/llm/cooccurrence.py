@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import functools
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamgraph.plans.shared import children, new_folder
+from loamgraph.plans.shared import children, materialize, new_folder, remove
 
 BASKETS = "path string, chunk_index int, item string, bucket int"
 PAIRS = "item_a string, item_b string, n bigint, bucket int"
 MARGINALS = "item string, n bigint, bucket int"
+SCORES = "item_a string, item_b string, n bigint, n_a bigint, n_b bigint"
+KEYS = {"baskets": ["path", "chunk_index"], "pairs": ["item_a", "item_b"], "marginals": ["item"]}
+SCHEMAS = {"baskets": BASKETS, "pairs": PAIRS, "marginals": MARGINALS}
+#: Rows a bucket is made for; a table that outgrows its buckets fourfold is given new ones.
+BUCKET_ROWS = 500_000
+#: So many batches of scores may lie beside each other before they are put together.
+SCORE_BATCHES = 8
 #: Baskets with more items than this are split over several tasks.
 SPLIT_AT = 64
 
@@ -41,63 +50,109 @@ class PairTable:
 
     ``apply`` takes the new content of the changed baskets only. Their old content is read back, the difference is
     emitted as signed pair and item counts, and just the buckets that receive a count are rewritten, each into the
-    folder of the new version; the others stay where an older version wrote them. The version is valid once its list
-    of folders (one row a bucket) is written, so a job that dies leaves the old version standing.
+    folder of the new version; the others stay where an older version wrote them. The number of buckets, and with it
+    of the tasks that write, follows from the rows of a table (``BUCKET_ROWS``) and grows with it. Pairs whose count,
+    or the count of an item of which, has changed are scored anew (``scores``); the others keep their score. The version is
+    valid once its list of folders (one row a bucket) is written, so a job that dies leaves the old version standing;
+    what neither the new nor the last version needs is then deleted.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int = 32):
-        self.spark, self.root, self.buckets = spark, root or new_folder(spark, "pairs"), buckets
+    def __init__(self, spark: SparkSession, root: str | None = None, bucket_rows: int = BUCKET_ROWS, score_batches: int = SCORE_BATCHES):
+        self.spark, self.root, self.bucket_rows, self.score_batches = spark, root or new_folder(spark, "pairs"), bucket_rows, score_batches
         done = [v for v in children(spark, self.root) if v.startswith("list-") and "_SUCCESS" in children(spark, f"{self.root}/{v}")]
         self.version = int(done[-1][5:]) if done else 0
         self.folders: dict[str, dict[int, int]] = {"baskets": {}, "pairs": {}, "marginals": {}}
+        self.buckets, self.rows = dict.fromkeys(KEYS, 0), dict.fromkeys(KEYS, 0)
+        self.scores: list[int] = []
         self.total = 0
         if done:
             for table, bucket, version, total in spark.read.parquet(f"{self.root}/{done[-1]}").collect():  # one row a bucket
-                if bucket is None:
+                if table == "total":
                     self.total = total
+                elif table == "scores":
+                    self.scores.append(version)
+                elif bucket is None:
+                    self.buckets[table], self.rows[table] = version, total
                 else:
                     self.folders[table][bucket] = version
+            self.scores.sort()
 
-    def _read(self, table: str, schema: str, only: set[int] | None = None) -> DataFrame:
+    def _read(self, table: str, only: set[int] | None = None) -> DataFrame:
         by_version: dict[int, list[int]] = {}
         for bucket, version in self.folders[table].items():
             if only is None or bucket in only:
                 by_version.setdefault(version, []).append(bucket)
-        found = self.spark.createDataFrame([], schema)
+        found = self.spark.createDataFrame([], SCHEMAS[table])
         for version, which in sorted(by_version.items()):
-            part = self.spark.read.schema(schema).parquet(f"{self.root}/{table}/v={version:06d}")
+            part = self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}/v={version:06d}")
             found = found.unionByName(part.where(F.col("bucket").isin(which)))
         return found
 
     def pairs(self) -> DataFrame:
-        return self._read("pairs", PAIRS).drop("bucket")
+        return self._read("pairs").drop("bucket")
 
     def marginals(self) -> DataFrame:
-        return self._read("marginals", MARGINALS).drop("bucket")
+        return self._read("marginals").drop("bucket")
+
+    def _bucket(self, table: str, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(*KEYS[table]), F.lit(self.buckets[table])).cast("int"))
 
-    def _bucket(self, *by: str) -> Column:
-        return F.pmod(F.xxhash64(*by), F.lit(self.buckets)).cast("int")
+    def _make_room(self, table: str, more: int) -> bool:
+        """Choose the buckets of a table that gets up to ``more`` rows; true if those it has must be left."""
+        self.rows[table] += more
+        wanted = max(self.spark.sparkContext.defaultParallelism, -(-self.rows[table] // self.bucket_rows))
+        if self.buckets[table] and self.rows[table] <= 4 * self.bucket_rows * self.buckets[table]:
+            return False
+        had, self.buckets[table] = self.buckets[table], wanted
+        return bool(had) and had != wanted
+
+    def _write(self, rows: DataFrame, where: str, buckets: int) -> set[int]:
+        rows.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(where)
+        return {int(name[7:]) for name in children(self.spark, where) if name.startswith("bucket=")}
 
     def _store(self, table: str, rows: DataFrame, touched: set[int], version: int) -> None:
-        where = f"{self.root}/{table}/v={version:06d}"
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(where)
-        there = {int(name[7:]) for name in children(self.spark, where) if name.startswith("bucket=")}
-        self.folders[table] = {b: v for b, v in self.folders[table].items() if b not in touched} | {b: version for b in there}
-
-    def _merge(self, table: str, schema: str, delta: DataFrame, keys: list[str], version: int) -> None:
-        tagged = delta.withColumn("bucket", self._bucket(*keys))
-        if not self.folders[table]:
-            self._store(table, tagged, set(), version)  # nothing to merge with
-            return
-        folder = f"{self.root}/delta-{table}/v={version:06d}"
-        tagged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
-        touched = {int(name[7:]) for name in children(self.spark, folder) if name.startswith("bucket=")}
-        if not touched:
-            return
-        fresh = self.spark.read.schema(schema).parquet(folder)
-        old = self._read(table, schema, touched)
-        summed = fresh.unionByName(old).groupBy("bucket", *keys).agg(F.sum("n").alias("n")).where("n <> 0")
-        self._store(table, summed, touched, version)
+        there = self._write(rows, f"{self.root}/{table}/v={version:06d}", self.buckets[table])
+        self.folders[table] = {b: v for b, v in self.folders[table].items() if b not in touched} | dict.fromkeys(there, version)
+
+    def _merge(self, table: str, delta: DataFrame, version: int) -> None:
+        """Add signed counts (key, n) to the buckets they fall into."""
+        old, left = self._read(table), self._make_room(table, delta.count())
+        tagged = self._bucket(table, delta.select(*KEYS[table], "n"))
+        if left:
+            touched = set(self.folders[table])
+            old = self._bucket(table, old.drop("bucket"))
+        else:
+            touched = {b for (b,) in tagged.select("bucket").distinct().collect()} & set(self.folders[table])  # one row a bucket
+            old = self._read(table, touched)
+        merged = tagged if not touched else tagged.unionByName(old).groupBy("bucket", *KEYS[table]).agg(F.sum("n").alias("n")).where("n <> 0")
+        self._store(table, merged, touched, version)
+
+    def _score(self, pairs: DataFrame, items: DataFrame, version: int) -> None:
+        """Write the scores of the pairs (item_a, item_b) changed and of all pairs of the changed ``items``."""
+        stored, counts = self.pairs(), self.marginals()
+        if self.scores:
+            one = lambda c: stored.join(items.select(F.col("item").alias(c)), c, "left_semi").select("item_a", "item_b")
+            affected = one("item_a").unionByName(one("item_b")).unionByName(pairs.select("item_a", "item_b")).distinct()
+            # a pair that is gone has a 0
+            stored = affected.join(stored, ["item_a", "item_b"], "left").select("item_a", "item_b", F.coalesce("n", F.lit(0)).alias("n"))
+        joined = stored.join(counts.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), "item_a", "left").join(counts.select(F.col("item").alias("item_b"), F.col("n").alias("n_b")), "item_b", "left")
+        joined.select("item_a", "item_b", "n", "n_a", "n_b").write.mode("overwrite").parquet(f"{self.root}/scores/v={version:06d}")
+        self.scores = [*self.scores, version]
+        if len(self.scores) > self.score_batches:
+            self._scores().write.mode("overwrite").parquet(f"{self.root}/scores/{self._batch(-version)}")
+            self.scores = [-version]
+
+    def _scores(self) -> DataFrame:
+        """The newest score of each pair."""
+        # batches put together have a negative number and come before all others
+        parts = [self.spark.read.schema(SCORES).parquet(f"{self.root}/scores/{self._batch(v)}").withColumn("at", F.lit(i)) for i, v in enumerate(sorted(self.scores))]
+        if not parts:
+            return self.spark.createDataFrame([], SCORES)
+        if len(parts) == 1:
+            return parts[0].drop("at").where("n > 0")
+        every = functools.reduce(DataFrame.unionByName, parts)
+        newest = every.groupBy("item_a", "item_b").agg(F.max_by(F.struct("n", "n_a", "n_b"), "at").alias("x"))
+        return newest.select("item_a", "item_b", "x.*").where("n > 0")
 
     def apply(self, baskets: DataFrame) -> PairTable:
         """Take ``baskets`` (path, chunk_index, item) as the new content of the baskets named in it.
@@ -105,45 +160,71 @@ class PairTable:
         A basket whose only item is null is emptied. Null items and repeated rows do not count; a null in path or
         chunk_index leaves the row out.
         """
-        version = self.version + 1
+        version, in_use = self.version + 1, self._in_use()
         given = baskets.select("path", "chunk_index", "item").where("path IS NOT NULL AND chunk_index IS NOT NULL").distinct()
-        given = given.withColumn("bucket", self._bucket("path", "chunk_index"))
-        folder = f"{self.root}/given/v={version:06d}"
-        given.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
-        touched = {int(name[7:]) for name in children(self.spark, folder) if name.startswith("bucket=")}
-        if not touched:
+        given = materialize(given, "given", f"{self.root}/given/v={version:06d}")
+        size = given.count()
+        if not size:
             return self
-        given = self.spark.read.schema(BASKETS).parquet(folder)
+        old, left = self._read("baskets"), self._make_room("baskets", size)
+        given = self._bucket("baskets", given)
         new = given.where("item IS NOT NULL")
-        rows = new.select("path", "chunk_index", "item", F.lit(1).alias("sign"))
-        kept = None
-        if old_buckets := touched & set(self.folders["baskets"]):
-            old = self._read("baskets", BASKETS, old_buckets)
-            named = given.select("path", "chunk_index", "bucket").distinct()
-            keys = ["path", "chunk_index", "bucket"]
+        rows, kept, touched = new.select("path", "chunk_index", "item", F.lit(1).alias("sign")), None, set()
+        if self.folders["baskets"]:
+            if left:
+                touched = set(self.folders["baskets"])
+                old = self._bucket("baskets", old.drop("bucket"))
+            else:
+                touched = {b for (b,) in given.select("bucket").distinct().collect()}  # one row a bucket
+                old = self._read("baskets", touched)
+            named, keys = given.select("path", "chunk_index").distinct(), ["path", "chunk_index"]
             was = old.join(named, keys, "left_semi").select("path", "chunk_index", "item", F.lit(-1).alias("sign"))
             kept = old.join(named, keys, "left_anti")
             rows = rows.unionByName(was)
-        self._merge("pairs", PAIRS, signed_pairs(rows), ["item_a", "item_b"], version)
-        self._merge("marginals", MARGINALS, rows.groupBy("item").agg(F.sum("sign").cast("bigint").alias("n")).where("n <> 0"), ["item"], version)
+        delta = f"{self.root}/delta/v={version:06d}"
+        pairs = materialize(signed_pairs(rows), "pairs", f"{delta}/pairs")
+        items = materialize(rows.groupBy("item").agg(F.sum("sign").cast("bigint").alias("n")).where("n <> 0"), "items", f"{delta}/items")
         self.total += rows.select("path", "chunk_index", "sign").distinct().agg(F.coalesce(F.sum("sign"), F.lit(0))).first()[0]
-        full = new if kept is None else kept.select(new.columns).unionByName(new)
-        self._store("baskets", full, touched, version)
-        listed = [(t, b, v, None) for t, which in self.folders.items() for b, v in which.items()] + [(None, None, None, int(self.total))]
+        self._store("baskets", new if kept is None else kept.select(new.columns).unionByName(new), touched, version)
+        self._merge("pairs", pairs, version)
+        self._merge("marginals", items, version)
+        self._score(pairs, items, version)
+        listed = [(t, b, v, None) for t, which in self.folders.items() for b, v in which.items()]
+        listed += [("total", None, None, int(self.total)), *(("scores", None, v, None) for v in self.scores), *((t, None, self.buckets[t], self.rows[t]) for t in KEYS)]
         self.spark.createDataFrame(listed, T.StructType.fromDDL("name string, bucket int, version int, total bigint")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/list-{version:06d}")
+        self._sweep(in_use | self._in_use(), version)
         self.version = version
         return self
 
+    def _in_use(self) -> set[str]:
+        return {f"{t}/v={v:06d}" for t, which in self.folders.items() for v in which.values()} | {f"scores/{self._batch(v)}" for v in self.scores}
+
+    @staticmethod
+    def _batch(version: int) -> str:
+        """The folder of a batch of scores; a negative number is that of batches put together."""
+        return f"v={abs(version):06d}{'-whole' if version < 0 else ''}"
+
+    def _sweep(self, needed: set[str], version: int) -> None:
+        """Delete what no version in use needs."""
+        for table in (*KEYS, "scores"):
+            for name in children(self.spark, f"{self.root}/{table}"):
+                if f"{table}/{name}" not in needed:
+                    remove(self.spark, f"{self.root}/{table}/{name}")
+        for folder in ("given", "delta"):
+            remove(self.spark, f"{self.root}/{folder}/v={version:06d}")
+        for name in children(self.spark, self.root):
+            if name.startswith("list-") and int(name[5:]) < version - 1:
+                remove(self.spark, f"{self.root}/{name}")
+
     def associations(self, *, min_together: int = 1, min_lift: float = 0.0) -> DataFrame:
         """(item_a, item_b, n, n_a, n_b, total, lift) of the pairs with n >= min_together and lift >= min_lift.
 
-        lift = n * total / (n_a * n_b): how many times as often as by chance. The filter on n comes before the joins;
-        the item counts are joined by hash, not broadcast, since their number grows with the data.
+        lift = n * total / (n_a * n_b): how many times as often as by chance. The stored score is n / (n_a * n_b) by its
+        parts, which a batch changes for the pairs it touches only; the total, which each batch changes, is one number
+        and comes in here.
         """
-        items = self.marginals()
-        pairs = self.pairs().where(F.col("n") >= min_together)
-        joined = pairs.join(items.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), "item_a").join(items.select(F.col("item").alias("item_b"), F.col("n").alias("n_b")), "item_b")
-        scored = joined.withColumn("total", F.lit(self.total).cast("bigint")).withColumn("lift", F.col("n") * F.col("total") / (F.col("n_a") * F.col("n_b")))
+        scored = self._scores().where(F.col("n") >= min_together)
+        scored = scored.withColumn("total", F.lit(self.total).cast("bigint")).withColumn("lift", F.col("n") * F.col("total") / (F.col("n_a") * F.col("n_b")))
         return scored.where(F.col("n").cast("double") * F.col("total") >= F.lit(min_lift) * F.col("n_a") * F.col("n_b")).select("item_a", "item_b", "n", "n_a", "n_b", "total", "lift")
 
 

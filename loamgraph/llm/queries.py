@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.llm import contamination, cooccurrence, name_variants, reading_level, sightings, source_files, term_frequency, tokenization, top_n
 from loamgraph.plans.session import load
+from loamgraph.plans.shared import materialize
 
 
 def _current(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,21 +45,27 @@ def p3_sightings_column(spark: SparkSession, sf: str) -> DataFrame:
     return nested.select("entity_id", F.posexplode("sightings").alias("at", "s")).select("entity_id", "at", "s.path", "s.chunk_index", "s.surface", "s.cnt")
 
 
+def _pair_table(spark: SparkSession, sf: str, column: str, share: float) -> cooccurrence.PairTable:
+    """The table after two batches: the rows up to the given share by ``column``, then the records that later rows name."""
+    rows = load(spark, sf, "sightings")
+    middle = rows.agg(F.percentile_approx(column, share)).first()[0]
+    late = F.col(column).isNull() | (F.col(column) > middle)
+    table = cooccurrence.PairTable(spark).apply(cooccurrence.sighting_baskets(sightings.current_sightings(rows.where(~late))))
+    touched = materialize(rows.where(late & F.col("path").isNotNull() & F.col("chunk_index").isNotNull()).select("path", "chunk_index").distinct(), "touched")
+    after = materialize(cooccurrence.sighting_baskets(sightings.current_sightings(rows.join(touched, ["path", "chunk_index"], "left_semi"))), "after")
+    emptied = touched.join(after, ["path", "chunk_index"], "left_anti").withColumn("item", F.lit(None).cast("string"))
+    return table.apply(after.unionByName(emptied))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    table = cooccurrence.PairTable(spark).apply(cooccurrence.sighting_baskets(_current(spark, sf)))
+    """Pairs of a table that was filled with nine tenths of the arrivals and then told of the records the last ones changed."""
+    table = _pair_table(spark, sf, "arrived_at", 0.9)
     return table.associations(min_together=5, min_lift=6).select(F.col("item_a").alias("entity_a"), F.col("item_b").alias("entity_b"))
 
 
 def p4_changes(spark: SparkSession, sf: str) -> DataFrame:
     """All pair counts, of a table made from the first half of the scans and then told of the records that later ones changed."""
-    rows = load(spark, sf, "sightings")
-    middle = rows.agg(F.percentile_approx("seen_at", 0.5)).first()[0]
-    before = cooccurrence.sighting_baskets(sightings.current_sightings(rows.where(F.col("seen_at") <= middle)))
-    table = cooccurrence.PairTable(spark).apply(before)
-    touched = rows.where(F.col("seen_at").isNull() | (F.col("seen_at") > middle)).select("path", "chunk_index").distinct()
-    after = cooccurrence.sighting_baskets(sightings.current_sightings(rows.join(touched, ["path", "chunk_index"], "left_semi")))
-    emptied = touched.join(after, ["path", "chunk_index"], "left_anti").withColumn("item", F.lit(None).cast("string"))
-    table.apply(after.unionByName(emptied))
+    table = _pair_table(spark, sf, "seen_at", 0.5)
     return table.associations().select(F.col("item_a").alias("entity_a"), F.col("item_b").alias("entity_b"), "n", "n_a", "n_b", "total", F.round("lift", 6).alias("lift"))
 
 

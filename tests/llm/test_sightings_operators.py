@@ -66,7 +66,7 @@ def test_term_runs_are_scanned_in_order(spark):
 def test_empty_tables(spark):
     none = sightings.current_sightings(spark.createDataFrame([], SCHEMA))
     assert none.count() == term_frequency.term_frequencies(none).count() == top_n.strongest_sightings(none).count() == 0
-    table = cooccurrence.PairTable(spark, buckets=4).apply(cooccurrence.sighting_baskets(none))
+    table = cooccurrence.PairTable(spark).apply(cooccurrence.sighting_baskets(none))
     assert table.version == 0 and table.associations().count() == 0
 
 
@@ -128,16 +128,28 @@ def check(table, baskets):
 def test_pair_table_takes_changes(spark):
     rnd = random.Random(9)
     baskets = {(f"p{i % 5}", i): set(rnd.sample("abcdefghij", rnd.randrange(0, 6))) for i in range(40)}
-    table = cooccurrence.PairTable(spark, buckets=4).apply(spark.createDataFrame(as_rows(baskets) * 2 + [(None, 1, "a"), ("p0", None, "b")], BASKET))
+    table = cooccurrence.PairTable(spark, bucket_rows=5, score_batches=2).apply(spark.createDataFrame(as_rows(baskets) * 2 + [(None, 1, "a"), ("p0", None, "b")], BASKET))
     check(table, baskets)
-    for _ in range(2):
-        changed = {k: set(rnd.sample("abcdefghijkl", rnd.randrange(0, 6))) for k in rnd.sample(sorted(baskets), 7)}
+    first = dict(table.buckets)
+    for n in (7, 3, 40):
+        more = {(f"q{i}", i): set(rnd.sample("abcdefghijklmnopq", 6)) for i in range(n)}
+        changed = {k: set(rnd.sample("abcdefghijkl", rnd.randrange(0, 6))) for k in rnd.sample(sorted(baskets), 7)} | more
         baskets |= changed
         table.apply(spark.createDataFrame(as_rows(changed), BASKET))
         check(table, baskets)
-    again = cooccurrence.PairTable(spark, table.root, buckets=4)
-    assert again.version == 3
+    assert table.buckets["pairs"] > first["pairs"]
+    again = cooccurrence.PairTable(spark, table.root, bucket_rows=5)
+    assert again.version == 4 and again.buckets == table.buckets and again.rows == table.rows
     check(again, baskets)
+    check(again.apply(spark.createDataFrame([(p, i, None) for p, i in baskets], BASKET)), dict.fromkeys(baskets, set()))
+
+
+def test_scores_of_untouched_pairs_are_not_computed_again(spark):
+    table = cooccurrence.PairTable(spark).apply(spark.createDataFrame(as_rows({("p", 0): {"a", "b"}, ("p", 1): {"c", "d"}, ("p", 2): {"d", "e"}}), BASKET))
+    table.apply(spark.createDataFrame(as_rows({("p", 1): {"c", "x"}}), BASKET))
+    fresh = spark.read.parquet(f"{table.root}/scores/v=000002").collect()
+    assert {(r["item_a"], r["item_b"], r["n"]) for r in fresh} == {("c", "d", 0), ("c", "x", 1), ("d", "e", 1)}
+    check(table, {("p", 0): {"a", "b"}, ("p", 1): {"c", "x"}, ("p", 2): {"d", "e"}})
 
 
 def test_large_baskets_are_split(spark):
