@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from loamgraph.llm.components import connected_components
 from loamgraph.plans.shared import materialize
 
-#: A given name in use: this share of the names of persons, and at least so many, begin or end with it.
-GIVEN_SHARE, GIVEN_LEAST, GIVEN_MOST = 0.002, 3, 5_000
+#: A given name in use: this share of the distinct names of persons, and at least so many, begin with it, so that there are
+#: at most 1 / GIVEN_SHARE of them.
+GIVEN_SHARE, GIVEN_LEAST = 0.002, 3
 #: Least Jaro-Winkler similarity of two spellings of a token that are one slip apart, as written and by sound.
 SIMILAR, SIMILAR_SOUND = 0.85, 0.9
 
@@ -33,13 +34,18 @@ ORGANISATION = {
     "foundation": "fdn fnd found", "press": "pr", "university": "univ uni", "laboratory": "lab labs laboratories", "institute": "inst institut", "society": "soc", "research": "res", "centre": "ctr center cent", "instruments": "instr", "company": "co comp cie",
     "association": "assn assoc", "department": "dept", "academy": "acad", "college": "coll", "corporation": "corp", "museum": "mus", "library": "libr", "council": "cncl", "committee": "cttee", "group": "grp", "brothers": "bros", "international": "intl", "national": "natl", "technology": "tech",
 }
+# Legal forms written without a space before or after the name.
+_GLUED_FORMS = re.compile("^(?:株式会社|有限会社|合同会社|주식회사)|(?:株式会社|有限会社|合同会社|주식회사|股份有限公司|有限公司|公司)$")
 SUFFIXES = frozenset("gmbh ag sa ltd inc ev llc plc limited incorporated kg bv nv spa srl co".split()) - {"co"}
+_CLEAR_FORMS = SUFFIXES - {"sa", "ag", "ev", "nv", "bv", "kg", "spa", "inc"} | {"inc"}
 CONNECTORS = frozenset("the of for and in at on de der des du la le von & und et y".split())
 TITLES = frozenset("dr prof professor mr mrs ms miss sir dame doctor phd md herr frau mme".split())
 _LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i"})
 _DIGITS = str.maketrans("0134568", "oieasbb")
 _FORMAL = {short: tuple(sorted(f for f, all_ in NICKNAMES.items() if short in all_.split())) for shorts in NICKNAMES.values() for short in shorts.split()}
 _WORDS = {short: word for word, shorts in ORGANISATION.items() for short in (word, *shorts.split())}
+#: Scripts written without spaces between words: Thai, Lao, Khmer, Kana, Han, Hangul.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 _GLUED = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])")
 
 
@@ -134,28 +140,55 @@ class Names:
         return near or tuple(sorted({f for short, fs in _FORMAL.items() if len(short) >= 4 and edits(short, token) <= 1 for f in fs}))
 
     def read(self, name: str | None, kind: str | None) -> list[str]:
-        """The readings of a name, as ``p|surname|given names or start|middle|strength`` or ``o|tokens|acronym``."""
+        """The readings of a name: ``p|surname|given names or start|middle|strength``, ``o|tokens|acronym`` or ``m|name``.
+
+        A name with a word or legal form of organisations is one; else it is read as a person's, if it can be; else an
+        entity of kind organization is read by its tokens, whatever they are, and a person of one word, or in a script
+        without spaces, by that."""
         if not name or not name.strip():
             return []
         text = unicodedata.normalize("NFKC", name).replace("“", '"').replace("”", '"').strip().strip(",;").strip()
         if text.startswith('"') and text.endswith('"') and text.count('"') == 2:
             text = text[1:-1].strip()
-        return self._organisation(text) or self._person(text, kind)
+        if _UNSPACED.search(text):
+            return self._unspaced(text, kind)
+        tokens, marked = self._tokens(text)
+        if marked and len(tokens) >= 2:
+            return ["o|" + " ".join(tokens) + "|"]
+        if found := self._person(text, kind):
+            # capitals that may be a legal form are read both ways
+            formed = kind == "organization" and fold(text.split()[-1]) in SUFFIXES
+            return [*found, "o|" + " ".join(tokens) + "|"] if formed and tokens else found
+        if kind == "organization" and tokens:
+            return ["o|" + " ".join(tokens) + "|"]
+        if kind == "person" and len(tokens) == 1 and (word := fold(text)):
+            return [f"m|{word}"]
+        return []
+
+    def _unspaced(self, text: str, kind: str | None) -> list[str]:
+        """Names in scripts without spaces, whether or not someone put spaces or dots between their parts."""
+        bare = "".join(fold(part) for part in re.split(r"[\W_]+", text))
+        short = _GLUED_FORMS.sub("", bare)
+        if kind == "organization" or short != bare:
+            return [f"o|{short or bare}|"]
+        return [f"m|{bare}"] if kind in (None, "person") and bare else []
 
-    def _organisation(self, text: str) -> list[str]:
+    def _tokens(self, text: str) -> tuple[list[str], bool]:
+        """The words of an organisation's name, and whether they or a legal form tell that it is one."""
         parts = [p for p in re.split(r"[\s,\-]+", text) if p]
-        tokens, found = [], "&" in parts
+        tokens, marked = [], "&" in parts
         for i, part in enumerate(parts):
             low = fold(part.replace(".", ""))
-            if not low or low in CONNECTORS or (i and low in SUFFIXES and part.lower().strip(".") != "co"):
+            if not low or low in CONNECTORS:
+                continue
+            if i and low in SUFFIXES and part.lower().strip(".") != "co":
+                marked = marked or i == len(parts) - 1 and low in _CLEAR_FORMS
                 continue
             word = _WORDS.get(low) or next((w for w in ORGANISATION if len(low) >= 6 and low[0] == w[0] and edits(low, w) <= 1), None)
             if word and not (low == "pr" and "." not in part):
-                found, low = True, word
+                marked, low = True, word
             tokens.append(low)
-        if found and len(tokens) >= 2:
-            return ["o|" + " ".join(tokens) + "|"]
-        return []
+        return tokens, marked
 
     def _person(self, text: str, kind: str | None) -> list[str]:
         comma = "," in text
@@ -203,29 +236,43 @@ class Names:
         return []
 
 
-def blocks(reading: str) -> list[tuple[str, str, bool]]:
-    """(token, rest, looks): two readings can only be the same if they have alike tokens with an equal rest.
+@functools.lru_cache(100_000)
+def _sound(token: str) -> str:
+    return phonetic(token)
+
 
-    A person has the surname with the given name's letter. An organisation has each token that may be misspelt, with
-    all its other tokens and, to be found by an acronym, with their first letters; an acronym looks by its letters."""
+def blocks(reading: str) -> list[tuple[str, bool]]:
+    """(key, looks): readings can only be the same if they share a key under which one of them looks.
+
+    Keys are the phonetic codes of the sorted tokens, with what one letter less leaves of one of them. A person has
+    the surname's codes with each given name it may be (full readings look) and with the given name's letter (hints
+    look, so full readings of one letter do not meet each other there). An organisation has all its tokens (whole names
+    look) and each token with the first letters of the others (acronyms look)."""
     kind, tokens, *rest = reading.split("|")
+    if kind == "m":
+        return [(f"m {c}", True) for c in codes(tokens)]
     if kind == "p":
-        return [(tokens, letter, True) for letter in sorted({g[0] for g in rest[0].split("/") if g})]
+        full = rest[2] == "full"
+        keys = [(f"g {c} {rest[0]}", True) for c in codes(tokens)] if full else []
+        return keys + [(f"l {c} {letter}", not full) for letter in sorted({g[0] for g in rest[0].split("/") if g}) for c in codes(tokens)]
     words = tokens.split()
     if rest[0]:
-        return [(words[0], "~" + "".join(sorted(rest[0])), True)]
-    found = []
+        return [(f"a {c} {''.join(sorted(rest[0]))}", True) for c in codes(words[0])]
+    keys = []
     for w in {w for w in words if w not in ORGANISATION} or {min(words)}:
         others = sorted(words)
         others.remove(w)
-        found += [(w, "=" + " ".join(others), True), (w, "~" + "".join(sorted(t[0] for t in others)), False)]
-    return found
+        sounds = " ".join(sorted(map(_sound, others)))
+        keys += [(f"o {c} {sounds}", True) for c in codes(w)] + [(f"a {c} {''.join(sorted(t[0] for t in others))}", False) for c in codes(w)]
+    return keys
 
 
 def relation(a: str, b: str) -> int:
     """0: not the same; 1: the same; 2: may be the same, as one of them is only hinted at; 3: both are hinted at alike."""
     if a[0] != b[0]:
         return 0
+    if a[0] == "m":
+        return int(alike(a[2:], b[2:]))
     if a[0] == "p":
         _, last_a, given_a, middle_a, how_a = a.split("|")
         _, last_b, given_b, middle_b, how_b = b.split("|")
@@ -266,7 +313,7 @@ def relation(a: str, b: str) -> int:
 def given_names(entities: DataFrame) -> frozenset[str]:
     """The given names in use, from the names of persons: words that often come first and seldom last.
 
-    Names with a comma are turned round before. At most GIVEN_MOST names, the most frequent first."""
+    Names with a comma are turned round before. Since a name begins with one word, there are at most 1 / GIVEN_SHARE."""
     tidy = F.lower(F.trim(F.regexp_replace("name", r"[\s\p{Zs}]+", " ")))
     persons = entities.where((F.col("kind") == "person") & F.col("name").isNotNull()).select(F.regexp_replace(tidy, "^([^,]+), ?(.+)$", "$2 $1").alias("name")).distinct()
     ends = persons.select(F.regexp_extract("name", r"^(\p{L}{3,}) ", 1).alias("first"), F.regexp_extract("name", r" (\p{L}{3,})$", 1).alias("last"))
@@ -274,7 +321,7 @@ def given_names(entities: DataFrame) -> frozenset[str]:
     words = ends.select(F.explode(F.array(F.struct(F.col("first").alias("w"), F.lit(1).alias("f"), F.lit(0).alias("l")), F.struct(F.col("last").alias("w"), F.lit(0).alias("f"), F.lit(1).alias("l")))).alias("x")).select("x.*")
     counted = words.where("w <> ''").groupBy("w").agg(F.sum("f").alias("f"), F.sum("l").alias("l"))
     often = counted.where((F.col("f") >= max(GIVEN_LEAST, GIVEN_SHARE * total)) & (F.col("f") > 2 * F.col("l")))
-    return frozenset(fold(w) for w, *_ in often.orderBy(F.desc("f"), "w").limit(GIVEN_MOST).collect() if w not in TITLES and w not in _FORMAL)
+    return frozenset(fold(w) for w, *_ in often.collect() if w not in TITLES and w not in _FORMAL)
 
 
 def read_names(entities: DataFrame, given: frozenset[str]) -> DataFrame:
@@ -294,32 +341,9 @@ def _keys(readings: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(r, *block) for r in batch.column(0).to_pylist() for block in blocks(r)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.string(), pa.string(), pa.bool_()))], names=["reading", "token", "rest", "looks"])
-
-    return readings.mapInArrow(run, "reading string, token string, rest string, looks boolean")
-
-
-def _codes(tokens: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(t, c) for t in batch.column(0).to_pylist() for c in codes(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in range(2)], names=["token", "code"])
-
-    return tokens.mapInArrow(run, "token string, code string")
-
-
-def _alike_tokens(tokens: DataFrame) -> DataFrame:
-    """(a, b): all pairs of equal or alike tokens, from those that share a phonetic code."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(x, y) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if alike(x, y)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in range(2)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.string(), pa.bool_()))], names=["reading", "key", "looks"])
 
-    coded = _codes(tokens)
-    near = coded.select(F.col("token").alias("a"), "code").join(coded.select(F.col("token").alias("b"), "code"), "code").where("a < b").select("a", "b").distinct()
-    found = near.mapInArrow(run, "a string, b string")
-    return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(tokens.select(F.col("token").alias("a"), F.col("token").alias("b")))
+    return readings.mapInArrow(run, "reading string, key string, looks boolean").select("reading", F.xxhash64("key").alias("key"), "looks").distinct()
 
 
 def _related(pairs: DataFrame) -> DataFrame:
@@ -331,22 +355,21 @@ def _related(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a string, b string, relation int")
 
 
-def candidate_pairs(readings: DataFrame, hot: int | None = None) -> DataFrame:
+def candidate_pairs(readings: DataFrame) -> DataFrame:
     """(a, b) with a < b: readings that share a block, among them all that ``relation`` finds the same.
 
-    Blocks are made of alike tokens (by phonetic codes, each token once, whatever its frequency) and the rest that has
-    to be equal: for persons the letter of the given name, for organisations the other tokens or, where one is an
-    acronym, their letters. So a frequent token needs no bound; ``hot`` is still accepted and changes nothing.
+    A block holds distinct readings only, so a name that a third of all entities bear is one row in it. Keys on which
+    nobody looks, or that one reading alone has, are left before the join; no block is cut or dropped.
     """
-    blocked = materialize(_keys(readings), "blocked")
-    alike_pairs = materialize(_alike_tokens(blocked.select("token").distinct()), "alike")
-    left = blocked.where("looks").select(F.col("reading").alias("a"), F.col("token").alias("ta"), "rest")
-    right = blocked.select(F.col("reading").alias("b"), F.col("token").alias("tb"), "rest", "looks")
-    joined = left.join(alike_pairs.select(F.col("a").alias("ta"), F.col("b").alias("tb")), "ta").join(right, ["tb", "rest"])
-    return joined.where("a < b OR NOT looks").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keyed = materialize(_keys(readings), "blocked")
+    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("looks").alias("any")).where("n > 1 AND any").select("key")
+    shared = keyed.join(met, "key")
+    left, right = shared.where("looks").select(F.col("reading").alias("a"), "key"), shared.select(F.col("reading").alias("b"), "key", "looks")
+    joined = left.join(right, "key").where("a < b OR (a > b AND NOT looks)")
+    return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def variants(entities: DataFrame, hot: int | None = None) -> DataFrame:
+def variants(entities: DataFrame) -> DataFrame:
     """(id, component): entities that name the same person or organisation, for those that have another of their kind.
 
     Names are read as persons (surname, given name through the nickname table, initials, titles dropped, any order) or
@@ -354,7 +377,8 @@ def variants(entities: DataFrame, hot: int | None = None) -> DataFrame:
     Readings that share a block are compared by Jaro-Winkler and the table. Full readings that agree are linked and
     their connected components taken; a reading that only hints at a given name (initial, start, a short form of two
     names) or gives an acronym joins the one component it fits, and none where it fits several, since relatives share
-    surnames and letters. Those that fit no full reading are linked among themselves where they agree.
+    surnames and letters. Those that fit no full reading are linked among themselves where they agree. Persons of one
+    word, and of scripts without spaces, are compared as they are.
 
     Null and empty names, and names of other things, are left alone; a repeated id is one entity. Hints in ``merges``
     and ``flags`` are not used, as some are wrong.
@@ -362,7 +386,7 @@ def variants(entities: DataFrame, hot: int | None = None) -> DataFrame:
     given = given_names(entities)
     read = materialize(read_names(entities, given).distinct(), "readings")
     readings = read.select("reading").distinct()
-    found = materialize(_related(candidate_pairs(readings, hot)), "related")
+    found = materialize(_related(candidate_pairs(readings)), "related")
     weak = lambda c: F.col(c).endswith("|weak") | (F.col(c).startswith("o|") & ~F.col(c).endswith("|"))
     strong = found.where("relation = 1").select("a", "b")
     clusters = materialize(connected_components(strong), "clusters")

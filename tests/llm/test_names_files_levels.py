@@ -37,10 +37,32 @@ def test_no_entities(spark):
     assert nv.variant_pairs(spark.createDataFrame([], ENTITIES)).count() == 0
 
 
-def test_hot_tokens_still_meet(spark):
-    frame, _ = entities(spark, [])
-    read = nv.read_names(frame, nv.given_names(frame)).select("reading").distinct()
-    assert {tuple(r) for r in nv.candidate_pairs(read, hot=2).collect()} == {tuple(r) for r in nv.candidate_pairs(read).collect()}
+def met(spark, readings):
+    return {tuple(r) for r in nv.candidate_pairs(spark.createDataFrame([(r,) for r in readings], "reading string")).collect()}
+
+
+def test_blocks_hold_all_that_are_related(spark):
+    given = nv.Names(frozenset(["robert", "rosa", "maria", "marta"]))
+    rnd = random.Random(8)
+    bases = ["Robert Zemikisal", "Rosa Zemikisal", "Maria Brofiwutor", "Marta Q. Brofiwutor", "R. Zemikisal", "M. Q. Brofiwutor", "rzemikisal", "Plato", "Sappho", "World Bank", "Deutsche Bank", "Acme Widgets", "Ministry of Health", "Harlow SMD", "Harlow Society of Marine Data", "山田 太郎", "株式会社日立製作所"]
+    names = set(bases)
+    for base in bases:
+        for _ in range(12):
+            i = rnd.randrange(len(base) - 1)
+            names.add(rnd.choice([base[:i] + base[i + 1 :], base[:i] + base[i + 1] + base[i] + base[i + 2 :], base[:i] + "e" + base[i:]]))
+    readings = sorted({r for n in names for kind in ("person", "organization") for r in given.read(n, kind)})
+    want = {(a, b) for a in readings for b in readings if a < b and nv.relation(a, b)}
+    assert len(want) > 300 and want <= met(spark, readings)
+
+
+def test_names_without_words_of_organisations_and_of_one_word(spark):
+    names = [("a1", "Siemens", "organization"), ("a2", "Siemens AG", "organization"), ("a3", "Seimens", "organization"), ("b1", "Acme Widgets", "organization"), ("b2", "Acme Wigdets Ltd.", None), ("c1", "General Electric", "organization"), ("c2", "Electric, General", "organization"), ("d1", "Deutsche Bank", "organization"), ("d2", "Deutshce Bank", "organization"), ("e1", "World Bank", "organization"), ("f1", "Ministry of Health", "organization"), ("f2", "Health Ministry", "organization"), ("g1", "Platon", "person"), ("g2", "Plato", "person"), ("g3", "Plotin", "person"), ("h1", "山田太郎", "person"), ("h2", "山田 太郎", None), ("h3", "山田花子", "person"), ("i1", "株式会社日立製作所", "organization"), ("i2", "日立製作所", "organization"), ("j1", "Plato", "concept"), ("k1", "Kernel", "technology")]
+    assert linked(spark, names) == {("a1", "a2"), ("a1", "a3"), ("a2", "a3"), ("b1", "b2"), ("c1", "c2"), ("d1", "d2"), ("f1", "f2"), ("g1", "g2"), ("h1", "h2"), ("i1", "i2")}
+
+
+def test_a_frequent_surname_adds_no_pairs_of_others(spark):
+    readings = [f"p|smith|{g}||full" for g in ("robert", "rosa", "richard", "rupert", "ralph")] + ["p|smiht|rosa||full", "p|smith|r.||weak"]
+    assert met(spark, readings) == {("p|smiht|rosa||full", "p|smith|rosa||full")} | {tuple(sorted((r, "p|smith|r.||weak"))) for r in readings[:6]}
 
 
 def test_organisations_of_a_frequent_token_all_meet(spark):
@@ -50,13 +72,11 @@ def test_organisations_of_a_frequent_token_all_meet(spark):
     readings = sorted({r for n in crowd + names for r in given.read(n, "organization")})
     want = {(a, b, r) for a in readings for b in readings if a < b and (r := nv.relation(a, b))}
     assert len(want) >= 12
-    for hot in (2, 200):
-        pairs = {tuple(r) for r in nv.candidate_pairs(spark.createDataFrame([(r,) for r in readings], "reading string"), hot=hot).collect()}
-        assert {(a, b, r) for a, b in pairs if (r := nv.relation(a, b))} == want
+    assert {(a, b, r) for a, b in met(spark, readings) if (r := nv.relation(a, b))} == want
     frame = spark.createDataFrame([(f"o{i:02d}", n, "organization", "x", "y", 1) for i, n in enumerate(names + crowd)], ENTITIES)
     groups = [(0, 1), (2, 3, 4, 5, 6), (7, 8), (9, 10)]
     linked = {(f"o{a:02d}", f"o{b:02d}") for g in groups for a in g for b in g if a < b}
-    members = [tuple(r) for r in nv.variants(frame, hot=2).collect()]
+    members = [tuple(r) for r in nv.variants(frame).collect()]
     assert {(a, b) for a, ca in members for b, cb in members if a < b and ca == cb} == linked
 
 
