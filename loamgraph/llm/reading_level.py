@@ -2,35 +2,33 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
-from statistics import median
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.llm.batches import portions
 from loamgraph.plans.shared import materialize
 
-#: The longest familiar-word list; with words of 10 letters about 1 MB, so it can be sent to every executor.
-LIST_SIZE = 20_000
-#: Share of the plainer half of the documents that a familiar word stands in.
-FAMILIAR_SHARE = 0.02
-#: Sentences count as at most so long; beyond, length adds no difficulty that readers tell apart.
-LONGEST = 60
-#: Used where fewer than LEAST_LABELS documents are labelled: constant, unfamiliar share, words a sentence, cut.
-DEFAULT_FORMULA = (2.0, 14.0, 0.2, 11.0)
-LEAST_LABELS = 60
+#: Share of a language's documents that a familiar word stands in. A list has so at most 1 / FAMILIAR_SHARE times as many
+#: words as a document has different ones on average, and can be sent to every executor.
+FAMILIAR_SHARE = 0.2
+#: The share of unfamiliar words is drawn to that of all documents as by so many further words, which matters for short texts.
+DRAWN = 10
+#: Constant, weight of the unfamiliar share and of a word a sentence in school grades, from a published
+#: familiar-word formula (2 * (15.79 * share + 0.0496 * length + 3.6365) - 5).
+PUBLISHED = (2.273, 31.58, 0.0992)
+#: All documents together, graded by the published formula, weigh as much as so many documents graded by readers.
+PRIOR = 1.0
+#: Grades further off than this weigh less, in proportion.
+FAR = 2.0
 GRADE = 13
-#: Counts a task holds before it passes them on.
-MOST_COUNTS = 300_000
-#: With fewer words of its own a document has no level.
-LEAST_WORDS = 20
 #: A language with fewer documents has no list: each word of one document would reach FAMILIAR_SHARE.
 LEAST_LISTED = 50
 
@@ -95,154 +93,171 @@ def sentence_lengths(paragraphs: list[str]) -> list[int]:
     return [n for p in paragraphs for s in sentences(p) if (n := len(_WORD.findall(s))) > 0]
 
 
-def _word_bin(words: list[str]) -> int:
-    """Mean letters a word in tenths."""
-    return int(10 * sum(map(len, words)) / len(words))
+PARSED = "doc_id bigint, lang string, n_words int, n_sentences int, sentence double, words array<string>, times array<int>"
 
 
-def document_frequencies(documents: DataFrame) -> DataFrame:
-    """(bin, word, n): in how many documents each word stands, by the documents' mean word length in tenths.
+def parse(documents: DataFrame) -> DataFrame:
+    """(doc_id, lang, n_words, n_sentences, sentence, words, times): what a document's own prose is made of.
 
-    The word is null in the rows that count documents. Counts are summed in each task, so what is shuffled grows
-    with the vocabulary."""
+    ``sentence`` is the mean of words a complete sentence, 0 without one and null without words; ``words`` are the
+    different words with how often each stands. This is the only pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def told() -> pa.RecordBatch:
-            bins, words = zip(*counts, strict=True) if counts else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["bin", "word", "n"])
-
         for batch in portions(batches):
-            for text in batch.column(0).to_pylist():
-                words = prose_words(own_prose(text))
-                if words:
-                    counts.update(zip(repeat(_word_bin(words)), [*set(words), None], strict=False))
-            if len(counts) > MOST_COUNTS:
-                yield told()
-                counts.clear()
-        yield told()
+            words, times, ends, sizes, lengths = [], [], [0], [], []
+            for text in batch.column(2).to_pylist():
+                paragraphs = own_prose(text)
+                counts = Counter(prose_words(paragraphs))
+                words += counts.keys()
+                times += counts.values()
+                ends.append(len(words))
+                sizes.append(counts.total())
+                lengths.append(sentence_lengths(paragraphs))
+            means = [sum(n) / len(n) if n else (0.0 if size else None) for n, size in zip(lengths, sizes, strict=True)]
+            offsets = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(values, kind)) for values, kind in ((words, pa.string()), (times, pa.int32()))]
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array([len(n) for n in lengths], pa.int32()), pa.array(means, pa.float64()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "n_words", "n_sentences", "sentence", "words", "times"])
 
-    return documents.select("text").mapInArrow(run, "bin int, word string, n bigint").groupBy("bin", "word").agg(F.sum("n").alias("n"))
+    return documents.select(F.col("doc_id").cast("bigint"), "lang", "text").mapInArrow(run, PARSED)
 
 
-def familiar_words(documents: DataFrame, *, share: float = FAMILIAR_SHARE, size: int = LIST_SIZE) -> list[str]:
-    """The high-frequency list: the words that most documents use, counted over the plainer half of all documents.
+def familiar_words(parsed: DataFrame, *, share: float = FAMILIAR_SHARE, least: int = LEAST_LISTED) -> dict[str, list[str]]:
+    """The high-frequency list of each language with at least ``least`` documents: words in at least ``share`` of them.
 
-    The plainer half are those with the shorter mean word length: where a quarter of a corpus is learned prose, its
-    terms are in more documents than many a household word is. A word is familiar if at least ``share`` of these
-    documents have it; of more than ``size`` such words the most frequent are taken, ties by the word.
-    """
-    frequencies = materialize(document_frequencies(documents), "frequencies")
-    by_bin = dict(frequencies.where("word IS NULL").select("bin", "n").collect())  # a few hundred bins at most
-    total, passed, cut = sum(by_bin.values()), 0, -1
-    for b in sorted(by_bin):
-        if passed >= total / 2:
-            break
-        passed, cut = passed + by_bin[b], b
-    plain = frequencies.where((F.col("bin") <= cut) & F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("n"))
-    return [w for (w,) in plain.where(F.col("n") >= share * passed).orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
+    Document frequencies are counted over all documents with words, and summed before the shuffle."""
+    spoken = parsed.where("lang IS NOT NULL AND n_words > 0")
+    totals = spoken.groupBy("lang").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= least)
+    counts = spoken.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    often = counts.join(F.broadcast(totals), "lang").where(F.col("n") >= share * F.col("total"))  # one row a language
+    lists: dict[str, list[str]] = {lang: [] for lang, _ in totals.collect()}
+    for lang, word in often.select("lang", "word").orderBy("lang", "word").collect():  # see FAMILIAR_SHARE for their number
+        lists[lang].append(word)
+    return lists
 
 
-FEATURES = "doc_id bigint, n_words int, n_sentences int, unfamiliar double, sentence double"
+FEATURES = "doc_id bigint, lang string, n_words int, n_sentences int, unfamiliar double, sentence double"
 
 
-def features(documents: DataFrame, familiar: list[str]) -> DataFrame:
-    """(doc_id, n_words, n_sentences, unfamiliar, sentence): share of words outside the list, words a sentence.
+def features(parsed: DataFrame, familiar: dict[str, list[str]]) -> DataFrame:
+    """(doc_id, lang, n_words, n_sentences, unfamiliar, sentence): share of words outside the list of the language.
 
-    The average sentence is the median, so that one enumeration does not pass for a style; text without complete
-    sentences has 0. Documents without words of their own have nulls in both."""
-    sent = documents.sparkSession.sparkContext.broadcast(frozenset(familiar))
+    Without a language it is the least of all lists; without a list, or without words, it is null."""
+    sent = parsed.sparkSession.sparkContext.broadcast(familiar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        for batch in portions(batches):
-            rows: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                paragraphs = own_prose(text)
-                words, lengths = prose_words(paragraphs), sentence_lengths(paragraphs)
-                unfamiliar = sum(w not in known for w in words) / len(words) if words else None
-                rows.append((key, len(words), len(lengths), unfamiliar, float(median(lengths)) if lengths else (0.0 if words else None)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()))], names=["doc_id", "n_words", "n_sentences", "unfamiliar", "sentence"])
-
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, FEATURES)
+        lists = {lang: pa.array(words, pa.string()) for lang, words in sent.value.items()}
+        for batch in batches:
+            sizes = np.array(batch.column(2).to_pylist(), float)
+            words, times = batch.column(5).flatten(), batch.column(6).flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(5).offsets.to_numpy()))
+            langs = np.array(batch.column(1).to_pylist(), object)
+            unfamiliar = np.full(batch.num_rows, np.nan)
+            for lang, known in lists.items():
+                ours = (langs == lang) | (langs == None)  # noqa: E711
+                if ours.any():
+                    new = ~pc.is_in(words, value_set=known).to_numpy(zero_copy_only=False)
+                    share = np.bincount(owner, weights=times * new, minlength=batch.num_rows) / np.maximum(sizes, 1)
+                    unfamiliar[ours] = np.fmin(unfamiliar[ours], share[ours])
+            unfamiliar[sizes == 0] = np.nan
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(unfamiliar, pa.float64(), from_pandas=True), batch.column(4)], names=["doc_id", "lang", "n_words", "n_sentences", "unfamiliar", "sentence"])
+
+    return parsed.select("doc_id", "lang", "n_words", "n_sentences", "sentence", "words", "times").mapInArrow(run, FEATURES)
+
+
+@dataclass(frozen=True)
+class Formula:
+    """level = constant + of_words * share of unfamiliar words + of_length * words a sentence; demanding from ``cut`` on."""
+
+    constant: float
+    of_words: float
+    of_length: float
+    cut: float
+    usual: float
+
+    def share(self) -> Column:
+        return (F.col("unfamiliar") * F.col("n_words") + DRAWN * F.lit(self.usual)) / (F.col("n_words") + DRAWN)
+
+    def level(self) -> Column:
+        return F.lit(self.constant) + F.lit(self.of_words) * self.share() + F.lit(self.of_length) * F.col("sentence")
+
+
+def _sums(rows: DataFrame, weight: Column) -> tuple[np.ndarray, np.ndarray]:
+    """X'WX and X'Wy of the columns u, s and grade."""
+    x = [F.lit(1.0), F.col("u"), F.col("s")]
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    row = rows.agg(*(F.coalesce(F.sum(weight * x[i] * x[j]), F.lit(0.0)) for i, j in pairs), *(F.coalesce(F.sum(weight * c * F.col("grade")), F.lit(0.0)) for c in x)).first()
+    square = np.zeros((3, 3))
+    for (i, j), v in zip(pairs, row[:6], strict=True):
+        square[i, j] = square[j, i] = v
+    return square, np.array(row[6:], float)
+
+
+def _histogram(rows: DataFrame, estimate: Column) -> np.ndarray:
+    """How many documents below and from GRADE on have each estimate, in tenths from 0 to 30."""
+    tenth = F.floor(10 * F.least(F.greatest(estimate, F.lit(0.0)), F.lit(30.0))).cast("int")
+    out = np.zeros((2, 302))
+    for at, low, high in rows.groupBy(tenth.alias("at")).agg(F.count_if(F.col("grade") < GRADE), F.count_if(F.col("grade") >= GRADE)).collect():  # at most 301 rows
+        out[:, at] = low, high
+    return out
 
 
-def fit(measured: DataFrame, labels: DataFrame) -> tuple[float, float, float, float]:
-    """(constant, weight of the unfamiliar share, weight of a word a sentence, cut) from readers' grades.
+def fit(measured: DataFrame, labels: DataFrame) -> Formula:
+    """The formula that fits the readers' grades.
 
     Grades outside 1 to 17 are left out, repeated rows count once, and a document has the median of its grades. The
-    weights are least squares over all labelled documents, by sums that Spark adds up; the second time without those
-    more than five grades off. The cut is the estimate that best tells grade 13 and up from the rest (the middle, if
-    several do). With fewer than LEAST_LABELS labelled documents the default formula holds.
+    weights are least squares by sums that Spark adds up, twice more with grades that are FAR off weighing less. All
+    measured documents, graded by the published formula, take part with the weight of PRIOR documents, so that the
+    same holds for any number of labels: without any, the formula is the published one. The cut is the estimate that
+    best tells grade 13 and up from the rest (the middle, if several do).
     """
     graded = labels.where("grade BETWEEN 1 AND 17 AND doc_id IS NOT NULL").select("doc_id", "rater", "grade").distinct().groupBy("doc_id").agg(F.percentile("grade", 0.5).alias("grade"))
-    x = F.least(F.col("sentence"), F.lit(float(LONGEST)))
-    rows = materialize(measured.where(F.col("n_words") >= LEAST_WORDS).join(graded, "doc_id").select(F.col("unfamiliar").alias("u"), x.alias("s"), "grade"), "graded")
-
-    def solve(part: DataFrame) -> tuple[int, np.ndarray]:
-        n, *sums = part.selectExpr("count(1)", "sum(u)", "sum(s)", "sum(u*u)", "sum(u*s)", "sum(s*s)", "sum(grade)", "sum(u*grade)", "sum(s*grade)").first()
-        if n < LEAST_LABELS:
-            return n, np.array(DEFAULT_FORMULA[:3])
-        u, s, uu, us, ss, g, ug, sg = sums
-        return n, np.linalg.lstsq(np.array([[n, u, s], [u, uu, us], [s, us, ss]], float), np.array([g, ug, sg], float), rcond=None)[0]
-
-    n, w = solve(rows)
-    if n < LEAST_LABELS:
-        return DEFAULT_FORMULA
-    estimate = F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("u") + F.lit(float(w[2])) * F.col("s")
-    kept, again = solve(rows.where(F.abs(estimate - F.col("grade")) <= 5))
-    w = again if kept >= LEAST_LABELS else w
-    estimate = F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("u") + F.lit(float(w[2])) * F.col("s")
-    tenth = F.floor(10 * F.least(F.greatest(estimate, F.lit(0.0)), F.lit(30.0))).cast("int")
-    histogram = rows.groupBy(tenth.alias("at")).agg(F.count_if(F.col("grade") >= GRADE).alias("high"), F.count_if(F.col("grade") < GRADE).alias("low")).collect()  # at most 301 rows
-    high, low = np.zeros(302), np.zeros(302)
-    for at, h, l in histogram:
-        high[at], low[at] = h, l
+    known = measured.where("unfamiliar IS NOT NULL")
+    n, usual = known.agg(F.count(F.lit(1)), F.coalesce(F.avg("unfamiliar"), F.lit(0.0))).first()
+    plain = Formula(*PUBLISHED, float(GRADE), usual)
+    every = known.select("doc_id", plain.share().alias("u"), F.col("sentence").alias("s"))
+    rows = materialize(every.join(graded, "doc_id"), "graded")
+    assumed = every.withColumn("grade", F.lit(PUBLISHED[0]) + PUBLISHED[1] * F.col("u") + PUBLISHED[2] * F.col("s"))
+    prior = [PRIOR / max(n, 1) * part for part in _sums(assumed, F.lit(1.0))]
+    w, weight = np.array(PUBLISHED), F.lit(1.0)
+    estimate = lambda w: F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("u") + F.lit(float(w[2])) * F.col("s")
+    for _ in range(3):
+        square, product = _sums(rows, weight)
+        w = w if not n else np.linalg.lstsq(square + prior[0], product + prior[1], rcond=None)[0]
+        weight = F.lit(FAR) / F.greatest(F.abs(estimate(w) - F.col("grade")), F.lit(FAR))
+    low, high = _histogram(rows, estimate(w)) + PRIOR / max(n, 1) * _histogram(assumed, estimate(w))
     errors = np.concatenate([[0], np.cumsum(high)]) + (low.sum() - np.concatenate([[0], np.cumsum(low)]))
-    best = np.flatnonzero(errors == errors.min())
-    return float(w[0]), float(w[1]), float(w[2]), float(best[len(best) // 2]) / 10
+    best = np.flatnonzero(errors <= errors.min() + 1e-9)
+    return Formula(*map(float, w), float(best[len(best) // 2]) / 10, usual)
+
+
+def _levels(measured: DataFrame, formula: Formula) -> DataFrame:
+    leveled = measured.withColumn("level", formula.level()).withColumn("demanding", F.coalesce(F.col("level") >= formula.cut, F.lit(False)))
+    return leveled.select("doc_id", "n_words", "n_sentences", "unfamiliar", "sentence", "level", "demanding")
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, *, lang: str = "en") -> DataFrame:
     """(doc_id, n_words, n_sentences, unfamiliar, sentence, level, demanding) of the documents in ``lang``.
 
     A familiar-word formula: ``level`` = constant + weight * share of words outside the high-frequency list + weight *
-    words a sentence, with weights from the readers' grades. ``demanding`` is true where the level reaches the cut for
-    more than secondary school. Texts with fewer than LEAST_WORDS words of their own, null and empty ones among them,
-    have a null level and are not demanding; texts of any length are read whole. Both passes over the texts run without a shuffle of text.
+    mean words a sentence, with weights from the readers' grades. ``demanding`` is true where the level reaches the cut
+    for more than secondary school. Texts without words of their own, null and empty ones among them, have a null level
+    and are not demanding; texts of any length are read whole, once, and not shuffled.
     """
-    ours = documents.where(F.col("lang") == lang).select("doc_id", "text")
-    measured = materialize(features(ours, familiar_words(ours)), "measured")
+    parsed = materialize(parse(documents.where(F.col("lang") == lang)), "parsed")
+    measured = materialize(features(parsed, familiar_words(parsed, least=1)), "measured")
     return _levels(measured, fit(measured, labels))
 
 
-def _levels(measured: DataFrame, formula: tuple[float, float, float, float]) -> DataFrame:
-    constant, of_words, of_length, cut = formula
-    level = F.lit(constant) + F.lit(of_words) * F.col("unfamiliar") + F.lit(of_length) * F.least(F.col("sentence"), F.lit(float(LONGEST)))
-    return measured.withColumn("level", F.when(F.col("n_words") >= LEAST_WORDS, level)).withColumn("demanding", F.coalesce(F.col("level") >= cut, F.lit(False)))
-
-
 def all_reading_levels(documents: DataFrame, labels: DataFrame, *, lang: str = "en") -> DataFrame:
     """The columns of ``reading_levels`` for every document, those in ``lang`` as there.
 
     Each language has a familiar-word list of its own; the weights and the cut are those of ``lang``, the only one with
     grades. A document without a language has the list that leaves the fewest of its words unfamiliar. In a language of
     fewer than LEAST_LISTED documents the unfamiliar share and the level are null, as there is no list."""
-    counts = dict(documents.where("lang IS NOT NULL").groupBy("lang").count().collect())  # one row a language
-    listed = sorted(k for k, n in counts.items() if k == lang or n >= LEAST_LISTED)
-    texts = {k: documents.where(F.col("lang") == k).select("doc_id", "text") for k in listed}
-    familiar = {k: familiar_words(t) for k, t in texts.items()}
-    measured = features(documents.where(F.col("lang").isNotNull() & ~F.col("lang").isin(listed)), []).withColumn("unfamiliar", F.lit(None).cast("double"))
-    unknown = documents.where("lang IS NULL")
-    if not listed:
-        measured = measured.unionByName(features(unknown, []).withColumn("unfamiliar", F.lit(None).cast("double")))
-    else:
-        tried = functools.reduce(DataFrame.unionByName, (features(unknown, familiar[k]) for k in listed))
-        best = tried.groupBy("doc_id").agg(F.min(F.struct("unfamiliar", "n_words", "n_sentences", "sentence")).alias("x"))
-        measured = measured.unionByName(best.select("doc_id", "x.*"))
-    measured = measured.withColumn("lang", F.lit(None).cast("string"))
-    for k in listed:
-        measured = measured.unionByName(features(texts[k], familiar[k]).withColumn("lang", F.lit(k)))
-    measured = materialize(measured, "measured")
-    return _levels(measured.drop("lang"), fit(measured.where(F.col("lang") == lang).drop("lang"), labels))
+    parsed = materialize(parse(documents), "parsed")
+    lists = familiar_words(parsed)
+    if lang not in lists:
+        lists |= familiar_words(parsed.where(F.col("lang") == lang), least=1)
+    measured = materialize(features(parsed, lists), "measured")
+    return _levels(measured, fit(measured.where(F.col("lang") == lang), labels))
