@@ -82,10 +82,16 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents whose ids do not decode to their text; none."""
-    documents = load(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    back = tokenization.decode(tokenization.encode(documents)).withColumnRenamed("text", "decoded")
-    return documents.join(back, "doc_id").where("text <> decoded").select("doc_id")
+    """Every document with the text that its ids decode to."""
+    documents = load(spark, sf, "documents").select("doc_id", "text")
+    return documents.select("doc_id").join(tokenization.decode(tokenization.encode(documents)), "doc_id", "left").select("doc_id", "text")
+
+
+def p6_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with the characters that its tokens cover and whether they follow each other without a gap."""
+    spans = tokenization.encode_with_offsets(load(spark, sf, "documents"))
+    gaps = F.exists(F.zip_with(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), lambda a, b: a > b), lambda x: x)
+    return spans.select("doc_id", F.coalesce(F.array_min("starts"), F.lit(0)).alias("first"), F.coalesce(F.array_max("ends"), F.lit(0)).alias("last"), gaps.alias("gaps"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +111,7 @@ def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_terms, p1_mentions, p2_found, p3_found, p3_ranked, p3_sightings_column, p4_found, p4_changes, p5_found, p5_reasons, p6_ids, p6_round_trip, p7_found, p8_found, p8_levels)
+    f.__name__: f for f in (p1_found, p1_terms, p1_mentions, p2_found, p3_found, p3_ranked, p3_sightings_column, p4_found, p4_changes, p5_found, p5_reasons, p6_ids, p6_round_trip, p6_offsets, p7_found, p8_found, p8_levels)
 }
 
 _TERM = rf"lower(trim(regexp_replace(surface, '{term_frequency.WS}+', ' ', 'g')))"
@@ -136,5 +142,6 @@ SQL: dict[str, str] = {
     "p3_sightings_column": f"{_RANKED} SELECT entity_id, CAST(nth - 1 AS INTEGER) AS at, path, chunk_index, surface, cnt FROM ranked WHERE nth <= 16",
     "p4_found": f"{_PAIRS} SELECT entity_a, entity_b FROM scored WHERE n >= 5 AND n * total >= 6 * n_a * n_b",
     "p4_changes": f"{_PAIRS} SELECT entity_a, entity_b, n, n_a, n_b, total, round(n * total / (n_a * n_b), 6) AS lift FROM scored",
-    "p6_round_trip": "SELECT doc_id FROM documents WHERE false",
+    "p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p6_offsets": "SELECT doc_id, CAST(0 AS INTEGER) AS first, CAST(coalesce(length(text), 0) AS INTEGER) AS last, false AS gaps FROM documents",
 }

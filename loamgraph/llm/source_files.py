@@ -18,31 +18,29 @@ from loamgraph.plans.shared import materialize
 GRAM = 56
 #: Of so many successive grams winnowing keeps at least one; a shared run of GRAM + WINDOW - 1 tokens is never missed.
 WINDOW = 8
+#: A file with fewer tokens than a gram has one fingerprint, that of all its tokens; with fewer than this it has none.
+LEAST_TOKENS = 28
 #: A fingerprint recurs if it stands in files of so many repositories.
 REPOSITORIES = 3
 #: Share of a file's fingerprints that must recur; of short files, in which idioms weigh more, a larger one.
 RECURRING, RECURRING_SHORT, SHORT = 0.5, 0.65, 14
+#: A file of which so much stands in another repository is a copy even if there is only one other.
+WHOLE = 0.9
 
-# Endings of files that may hold code.
-CODE_ENDINGS = ("py", "js", "mjs", "cjs", "jsx", "ts", "tsx", "rs", "go", "c", "cc", "cpp", "cxx", "h", "hh", "hpp", "java", "kt", "scala", "rb", "php", "cs", "swift", "css", "lua", "pl", "sh", "sql")
 # Folders that hold copies of other projects, output of generators, and names of built files.
 _VENDOR = re.compile(r"(?:^|/)(?:vendor|vendored|third[-_]?party|3rd[-_]?party|extern|externals?|deps|node_modules|bower_components|contrib|imported)/[^/]+/", re.IGNORECASE)
 _GENERATED_PATH = re.compile(r"(?:^|/)(?:gen|generated|autogen|auto[-_]generated|codegen|__generated__)/(?:.*/)?[^/]+$|\.(?:gen|generated|g|pb|tab|yy|lex)\.[a-z]+$|_pb2(?:_grpc)?\.py$|\.pb\.(?:go|cc|h)$", re.IGNORECASE)
 _BUILT = re.compile(r"(?:[.-]min|\.bundle|\.chunk|\.prod|\.umd)\.[cm]?jsx?$|(?:^|/)[\w-]+\.[0-9a-f]{6,}\.[cm]?js$", re.IGNORECASE)
-# How generators mark what they write.
+# How generators mark what they write, in the project's languages.
 _MARK = re.compile(
-    r"\bauto-?\s?generated\b|@generated\b|\bgenerated (?:by|from|with|using)\b|\bdo not (?:edit|modify|change)\b|\bchanges will be (?:lost|overwritten)\b|\bmachine[- ](?:written|generated|made)\b"
-    r"|\bautomati(?:sch|quement|camente|cally)\b.{0,60}\b(?:erzeugt|erstellt|g[ée]n[ée]r\w*|produi\w*|generad\w*|generat\w*|produced|created|written)\b|\bnicht (?:bearbeiten|[äa]ndern)\b|\bne pas (?:modifier|[ée]diter)\b|\bno (?:editar|modificar)\b"
-    r"|\bfichier est (?:produit|g[ée]n[ée]r[ée])\b|\barchivo (?:generado|producido)\b|\bedit \S+ instead\b|\brebuild with\b",
+    r"\bauto-?\s?generated\b|@generated\b|\bgenerated (?:by|from|with|using)\b|\bmachine[- ](?:written|generated|made)\b|\bdo not (?:edit|modify|change)\b"
+    r"|\bautomati(?:sch|quement|camente)\b.{0,60}\b(?:erzeugt|erstellt|g[ée]n[ée]r\w*|produi\w*|generad\w*)\b|\b(?:fichier|archivo) (?:est )?(?:produit|g[ée]n[ée]r[ée]|generado|producido)\b"
+    r"|\bnicht (?:bearbeiten|[äa]ndern)\b|\bne pas (?:modifier|[ée]diter)\b|\bno (?:editar|modificar)\b",
     re.IGNORECASE,
 )
-_NO_MARK = re.compile(r"\bnot (?:auto-?)?generated\b|\bedit freely\b|\bwrites?\b.{0,10}[\"'“]|[\"'“][^\"']*(?:generated|do not edit)[^\"']*[\"'”].{0,40}\b(?:into|to) (?:each|every|the)\b", re.IGNORECASE)
-# How copies of other projects are marked.
-_COPIED = re.compile(
-    r"\b(?:vendored|imported|copied|taken|adapted) (?:verbatim )?from (?:the )?\w[\w.-]* (?:v?\d|release|project|repository)|\bupstream (?:release|version)\b|\bcopied without changes\b|\blocal (?:changes|edits|patches) are marked\b"
-    r"|\bpart of \w[\w.-]* v?\d+\.\d+|\bdo not report bugs to this project\b|^\W*\w[\w.-]* v\d+\.\d+(?:\.\d+)?\b|\(c\) its authors",
-    re.IGNORECASE | re.MULTILINE,
-)
+_NO_MARK = re.compile(r"\bnot (?:auto-?)?generated\b|[\"'“][^\"']*(?:generated|do not edit)[^\"']*[\"'”]", re.IGNORECASE)
+#: A release of a project, named in the comment that a file begins with.
+_RELEASE = re.compile(r"\b([A-Z][\w-]+) v?\d+\.\d+(?:\.\d+)*\b")
 _COMMENT_LINE = re.compile(r"^\s*(?://|#(?!include|define|if|endif|else|pragma|!)|/\*|\*|--|;|\"\"\"|<!--)")
 _BLOCK = re.compile(r"/\*.*?\*/|\"\"\".*?\"\"\"|'''.*?'''", re.DOTALL)
 _TO_END = re.compile(r"(?m)//[^\n]*$|^\s*#(?!include|define)[^\n]*$")
@@ -109,17 +107,27 @@ def is_data(text: str) -> bool:
     return len(bare) >= 400 and (literals >= 5 or len(rest) <= 0.2 * len(bare)) and names <= 0.12 * len(re.sub(r"\s", "", bare))
 
 
+def names_release(path: str, text: str) -> bool:
+    """Whether the comment a file begins with names a release of a project other than its repository."""
+    header = []
+    for line in text.splitlines():
+        if not _COMMENT_LINE.match(line):
+            break
+        header.append(line)
+    own = path.split("/", 1)[0].lower()
+    return any(m[1].lower() not in own for m in _RELEASE.finditer("\n".join(header)))
+
+
 def reason_of(path: str, text: str) -> str | None:
     """Why a file by itself is not hand-written, or null. What the text shows goes before what the path says."""
     if text:
-        header = "\n".join(line for line in text.splitlines()[:6] if _COMMENT_LINE.match(line) or line.startswith("/*"))
         if is_generated(text):
             return "generated"
         if is_minified(text):
             return "minified"
         if is_data(text):
             return "data"
-        if _COPIED.search(header):
+        if names_release(path, text):
             return "third party"
     if _BUILT.search(path):
         return "minified"
@@ -129,8 +137,12 @@ def reason_of(path: str, text: str) -> str | None:
 
 
 def fingerprints(text: str, gram: int = GRAM, window: int = WINDOW) -> np.ndarray:
-    """Winnowed 64-bit fingerprints of the token stream without comments, white space and case."""
+    """Winnowed 64-bit fingerprints of the token stream without comments, white space and case.
+
+    A stream shorter than a gram, but of LEAST_TOKENS, has one of the whole of it."""
     tokens = _TOKEN.findall(_TO_END.sub("", _BLOCK.sub("", text)).lower())
+    if LEAST_TOKENS <= len(tokens) < gram:
+        gram = len(tokens)
     n = len(tokens) - gram + 1
     if n < 1:
         return np.zeros(0, np.int64)
@@ -172,28 +184,33 @@ def examine(files: DataFrame) -> DataFrame:
 def code_files(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     """(path, chunks) of the nodes of kind ``code``, with the chunks that are kept of each; paths with ``/``.
 
-    Chunks that cannot be of a code file are left before the shuffle, by the ending of their path, and repeated rows
-    by a set. Files without chunks have null; null paths and contents are no rows."""
+    Chunks whose path has an ending that no code node has are left before the shuffle, and repeated rows by a set.
+    Files without chunks have null; null paths and contents are no rows."""
     one = lambda c: F.replace(F.col(c), F.lit("\\"), F.lit("/"))
+    ending = lambda c: F.element_at(F.split(c, r"[./\\]"), -1).alias("ending")
     code = nodes.where((F.col("kind") == "code") & F.col("id").isNotNull()).select(one("id").alias("path")).distinct()
-    ours = chunks.where("content IS NOT NULL AND content <> '' AND chunk_index IS NOT NULL").where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*CODE_ENDINGS))
+    full = chunks.where("content IS NOT NULL AND content <> '' AND chunk_index IS NOT NULL").select("path", "chunk_index", "content", ending("path"))
+    ours = full.join(code.select(ending("path")).distinct(), "ending", "left_semi")
     kept = ours.groupBy(one("path").alias("path")).agg(F.collect_set(F.struct("chunk_index", "content")).alias("chunks"))
     return code.join(kept, "path", "left")
 
 
 def not_by_hand(nodes: DataFrame, chunks: DataFrame, *, repositories: int = REPOSITORIES) -> DataFrame:
-    """(path, reason, share) of code files that nobody wrote by hand; ``reason`` is generated, minified, data, third party or copy.
+    """(path, reason, share) of code files that nobody wrote by hand; ``reason`` is copy, generated, minified, data or third party.
 
     ``share`` is the part of the file's winnowed fingerprints that stand in files of at least ``repositories``
-    repositories; from RECURRING on (RECURRING_SHORT with fewer than SHORT fingerprints) the file is a copy. A repository counts once for a fingerprint, which also takes
-    the weight from a repository full of one file; these counts are summed before the shuffle. Files shorter than a
-    gram, like package markers, have no fingerprint and are no copies, however many there are.
+    repositories; from RECURRING on (RECURRING_SHORT with fewer than SHORT fingerprints), or from WHOLE on in any two,
+    the file is a copy. What is no copy is judged by itself (``reason_of``). A repository counts once for a fingerprint,
+    which also takes the weight from a repository full of one file; these counts are summed before the shuffles, so a
+    fingerprint of a third of all files is one row a repository. Files of fewer than LEAST_TOKENS tokens, like package
+    markers, have no fingerprint and are no copies, however many there are.
     """
     # numbers stand for paths and repositories in what is shuffled by fingerprint
     files = materialize(examine(code_files(nodes, chunks)).withColumn("file", F.monotonically_increasing_id()), "files")
     prints = files.select("file", F.xxhash64(repository_of(F.col("path"))).alias("repository"), F.explode("fingerprints").alias("print"))
-    common = prints.groupBy("print", "repository").agg(F.lit(1).alias("one")).groupBy("print").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= repositories).select("print")
-    met = prints.select("file", "print").join(common, "print").groupBy("file").agg(F.count(F.lit(1)).alias("met"))
+    common = prints.groupBy("print", "repository").agg(F.lit(1).alias("one")).groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = prints.select("file", "print").join(common, "print").groupBy("file").agg(F.count_if(F.col("n") >= repositories).alias("met"), F.count(F.lit(1)).alias("twice"))
     shared = files.select("file", "path", "reason", F.size("fingerprints").alias("size")).join(met, "file", "left").withColumn("share", F.coalesce(F.col("met") / F.col("size"), F.lit(0.0)))
     enough = F.when(F.col("size") < SHORT, RECURRING_SHORT).otherwise(RECURRING)
-    return shared.withColumn("reason", F.coalesce("reason", F.when(F.col("share") >= enough, "copy"))).where("reason IS NOT NULL").select("path", "reason", "share")
+    copied = (F.col("share") >= enough) | (F.col("twice") >= WHOLE * F.col("size"))
+    return shared.withColumn("reason", F.when(copied, "copy").otherwise(F.col("reason"))).where("reason IS NOT NULL").select("path", "reason", "share")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgraph.plans.shared import materialize
+
 # The code points with the Unicode property White_Space.
 WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -26,6 +28,7 @@ def term_frequencies(current: DataFrame, *, rare_records: int = 3, rare_occurren
     ``common_share`` of all records, else null. ``example`` is the least original spelling. A surface of white space
     only is the empty term. No rows give no terms.
     """
+    current = materialize(current, "current")  # read three times: to sample the ranges, to count terms and records
     pairs = current.select(normal_term(F.col("surface")).alias("term"), "path", "chunk_index", "surface", "cnt")
     ordered = pairs.repartitionByRange("term", "path", "chunk_index").sortWithinPartitions("term", "path", "chunk_index")
     in_records = ordered.groupBy("term", "path", "chunk_index").agg(F.sum("cnt").alias("cnt"), F.min("surface").alias("example"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 import functools
 import os
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.llm.batches import portions
@@ -96,17 +97,28 @@ def _list_array(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
 
+def shipped(spark: SparkSession, path: str) -> Callable[[], str]:
+    """Send a vocabulary file to every executor; there, the result tells where it lies."""
+    spark.sparkContext.addFile(path)
+
+    def where() -> str:
+        there = SparkFiles.get(os.path.basename(path))
+        return there if os.path.exists(there) else path
+
+    return where
+
+
 def encode(texts: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str = f"{DEFAULT_FOLDER}/{DEFAULT_TOKENIZER}") -> DataFrame:
     """(key, ids): each text's token ids without special tokens, over Arrow batches and without a shuffle.
 
     Null and empty texts have the empty list; the strings of special tokens are ordinary text. Texts of any length are
     encoded whole. Repeated keys give repeated rows. Other columns are not read. ``tokenizer`` is a byte-level
-    vocabulary file of the tokenizers library that every executor can open.
+    vocabulary file of the tokenizers library; it is sent to every executor.
     """
-    kind = texts.schema[key].dataType.simpleString()
+    kind, where = texts.schema[key].dataType.simpleString(), shipped(texts.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
+        encoder = PieceEncoder(where())
         for batch in portions(batches):
             ids, ends = encoder(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), _list_array(ids, ends)], names=[key, "ids"])
@@ -119,10 +131,10 @@ def encode_with_offsets(texts: DataFrame, *, key: str = "doc_id", text: str = "t
 
     Lengths are known in bytes; bytes are mapped to the character they belong to. Tokens that split a character all
     name that whole character."""
-    kind = texts.schema[key].dataType.simpleString()
+    kind, where = texts.schema[key].dataType.simpleString(), shipped(texts.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
+        encoder = PieceEncoder(where())
         width = np.array([len(encoder.tokenizer.id_to_token(i) or "") for i in range(encoder.tokenizer.get_vocab_size())])
         for batch in portions(batches):
             rows = batch.column(1).to_pylist()
@@ -148,10 +160,10 @@ def decode(encoded: DataFrame, *, key: str = "doc_id", ids: str = "ids", tokeniz
     split over tokens come out whole; bytes that are no character (a list cut inside one) become U+FFFD. An id outside
     the vocabulary is an error.
     """
-    kind = encoded.schema[key].dataType.simpleString()
+    kind, where = encoded.schema[key].dataType.simpleString(), shipped(encoded.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, vocabulary = byte_table(), _tokenizer(tokenizer)
+        table, vocabulary = byte_table(), _tokenizer(where())
         raw = [bytes(table[c] for c in token) if all(c in table for c in token) else token.encode() for token in (vocabulary.id_to_token(i) or "" for i in range(vocabulary.get_vocab_size()))]
         for batch in portions(batches):
             out = [b"".join(raw[i] for i in row or [] if i is not None).decode("utf-8", "replace") for row in batch.column(1).to_pylist()]

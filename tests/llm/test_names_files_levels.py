@@ -131,6 +131,29 @@ def test_files_not_by_hand(spark):
     assert {r["path"] for r in sf.not_by_hand(nodes, chunks.limit(0)).collect()} == {"p4/vendor/lib/z.go", "p9/static/x.min.js"}
 
 
+def found(spark, files):
+    nodes = spark.createDataFrame([(p, "code") for p in files], "id string, kind string")
+    chunks = spark.createDataFrame([(p, 0, t) for p, t in files.items()], "path string, chunk_index int, content string")
+    return {r["path"]: r["reason"] for r in sf.not_by_hand(nodes, chunks).collect()}
+
+
+def test_copies_are_found_by_their_fingerprints(spark):
+    short, twice = code("s", 21, 2), code("t", 22)
+    assert sf.LEAST_TOKENS <= len(sf._TOKEN.findall(short)) < sf.GRAM
+    files = {f"p{i}/a.py": short for i in range(3)} | {f"q{i}/b.weird": twice for i in range(2)} | {"q1/c.weird": code("u", 23), "r/d.py": twice[: len(twice) // 2] + code("v", 24, 12), "r/e.py": "x = 1\n"}
+    assert found(spark, files) == dict.fromkeys([*(f"p{i}/a.py" for i in range(3)), "q0/b.weird", "q1/b.weird"], "copy")
+
+
+def test_a_licence_in_all_files_makes_no_copy(spark):
+    text = "# Copyright the authors\n# " + "all rights and many more words " * 20 + "\n"
+    assert found(spark, {f"p{i}/a.py": text + code("x", 100 + i) for i in range(6)}) == {}
+
+
+def test_releases_in_headers():
+    for header, is_one in (("// Lib v1.2.3\n", True), ("# Imported from Some-Lib 2.0 sources\n", True), ("# see section 1.2\n", False), ("# Mine v0.3.1\n", False), ("x = 1\n# Lib v1.2.3\n", False)):
+        assert sf.names_release("mine-kit/src/a.py", header + "y = 2\n") is is_one
+
+
 def test_overlaps_are_merged():
     text = code("t", 3, 20)
     assert sf.merge_chunks([(0, text[:900]), (1, text[700:1500]), (2, text[1300:])]) == text
