@@ -28,21 +28,22 @@ def signed_pairs(rows: DataFrame, split_at: int = SPLIT_AT) -> DataFrame:
     """(item_a, item_b, n): the sum of ``sign`` over the baskets holding both, item_a < item_b, zeros left out.
 
     ``rows`` is (path, chunk_index, item, sign) without repeats. Sums are taken before the shuffle by pair. Baskets of
-    up to ``split_at`` items meet themselves where they lie after one shuffle by basket. Larger ones are cut into
+    up to ``split_at`` items are brought together by one shuffle and paired where they lie. Larger ones are cut into
     slices by item on the left and repeated once a slice on the right, so the pairs of one large basket are made by as
     many tasks as it has slices.
     """
     keys = ["path", "chunk_index", "sign"]
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = rows.join(sizes, keys)
-    small = sized.where(F.col("size") <= split_at)
-    pairs = small.withColumnRenamed("item", "item_a").join(small.select(*keys, F.col("item").alias("item_b")), keys)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > split_at)
+    sized = rows.join(sizes, keys, "left")
+    small = sized.where("size IS NULL").groupBy(*keys).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    after = lambda x, i: F.transform(F.slice("items", i + 2, F.lit(split_at)), lambda y: F.struct(x.alias("item_a"), y.alias("item_b")))
+    pairs = small.where("size(items) > 1").select("sign", F.explode(F.flatten(F.transform("items", after))).alias("x")).select("x.*", "sign")
     slices = F.ceil(F.col("size") / split_at).cast("int")
-    large = sized.where(F.col("size") > split_at)
+    large = sized.where("size IS NOT NULL")
     left = large.select(*keys, F.col("item").alias("item_a"), F.pmod(F.hash("item"), slices).alias("slice"))
     right = large.select(*keys, F.col("item").alias("item_b"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
-    every = pairs.select("item_a", "item_b", "sign").unionByName(left.join(right, [*keys, "slice"]).select("item_a", "item_b", "sign"))
-    return every.where("item_a < item_b").groupBy("item_a", "item_b").agg(F.sum("sign").cast("bigint").alias("n")).where("n <> 0")
+    every = pairs.unionByName(left.join(right, [*keys, "slice"]).where("item_a < item_b").select("item_a", "item_b", "sign"))
+    return every.groupBy("item_a", "item_b").agg(F.sum("sign").cast("bigint").alias("n")).where("n <> 0")
 
 
 class PairTable:
@@ -82,11 +83,9 @@ class PairTable:
         for bucket, version in self.folders[table].items():
             if only is None or bucket in only:
                 by_version.setdefault(version, []).append(bucket)
-        found = self.spark.createDataFrame([], SCHEMAS[table])
-        for version, which in sorted(by_version.items()):
-            part = self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}/v={version:06d}")
-            found = found.unionByName(part.where(F.col("bucket").isin(which)))
-        return found
+        read = lambda version: self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}/v={version:06d}")
+        parts = [read(version).where(F.col("bucket").isin(which)) for version, which in sorted(by_version.items())]
+        return functools.reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], SCHEMAS[table])
 
     def pairs(self) -> DataFrame:
         return self._read("pairs").drop("bucket")

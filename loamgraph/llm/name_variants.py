@@ -408,7 +408,8 @@ def variants(entities: DataFrame) -> DataFrame:
     either = marked.groupBy("id").agg(F.max(F.coalesce("_fits", F.lit(False))).alias("_organisation"), F.countDistinct("_o").alias("_ways"))
     one = marked.join(either, "id").where((F.col("_ways") == 1) | (F.col("_o") == F.col("_organisation")))
     same = one.select(F.concat(F.lit("="), "id").alias("a"), F.col("reading").alias("b"))
-    every = strong.unionByName(joined).unionByName(loose).unionByName(same)
+    # a component is a star here, so that its chains need not be walked again
+    every = clusters.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(joined).unionByName(loose).unionByName(same)
     parts = connected_components(every)
     ours = parts.where(F.col("node").startswith("=")).select(F.substring("node", 2, 1 << 30).alias("id"), "component")
     return ours.join(ours.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component"), "component").select("id", "component")
