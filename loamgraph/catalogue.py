@@ -13,7 +13,7 @@ from loamgraph.functions.text import normal_name, point_id, slug, strip_html, wa
 from loamgraph.operators import detail, entities, filegraph, fusion, graph, layout, lexical, vectors
 from loamgraph.operators.ranking import with_position
 from loamgraph.plans.session import load
-from loamgraph.plans.shared import materialize, new_folder
+from loamgraph.plans.shared import children, materialize, new_folder
 from loamgraph.sources.points import SCHEMA, Collection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,12 +27,32 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 # inputs
 
 
+_MADE: dict[tuple[str, str, str], tuple[str, object]] = {}
+
+
+def once(spark: SparkSession, sf: str, name: str, make: Callable[[str], object]):
+    """What several queries of an application need is written for the first of them: the corpus, its index, the points."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MADE or not children(spark, _MADE[key][0]):
+        path = new_folder(spark, name)
+        _MADE[key] = path, make(path)
+    return _MADE[key][1]
+
+
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """(path, chunk_index, content): every chunk once, with ``/`` in its path."""
     rows = load(spark, sf, "chunks").where("path IS NOT NULL AND chunk_index IS NOT NULL AND content IS NOT NULL AND content <> ''")
     return rows.groupBy(with_slashes(F.col("path")).alias("path"), "chunk_index").agg(F.max("content").alias("content"))
 
 
+def kept_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return once(spark, sf, "corpus", lambda path: materialize(corpus(spark, sf), "corpus", path))
+
+
+def index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
+    return once(spark, sf, "index", lambda path: lexical.LexicalIndex.build(kept_corpus(spark, sf), path))
+
+
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """(path, text) of the documents as Markdown files."""
     path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
@@ -57,10 +77,15 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
-    """Points of the first chunks, the vectors taken in order."""
-    placed = with_position(corpus(spark, sf), ["path", "chunk_index"], "vec_id")
-    joined = placed.join(load(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id")
-    return joined.select(F.concat_ws("#", "path", "chunk_index").alias("id"), "vector", F.col("path").alias("rel_path"), "chunk_index", "content")
+    """Points of all chunks; the vectors are taken in order, again from the first after the last."""
+
+    def make(path: str) -> DataFrame:
+        vectors_ = load(spark, sf, "embeddings")
+        placed = with_position(kept_corpus(spark, sf), ["path", "chunk_index"])
+        joined = placed.withColumn("vec_id", F.col("position") % max(1, vectors_.count())).join(vectors_.select("vec_id", F.col("embedding").alias("vector")), "vec_id")
+        return materialize(joined.select(F.concat_ws("#", "path", "chunk_index").alias("id"), "vector", F.col("path").alias("rel_path"), "chunk_index", "content"), "points", path)
+
+    return once(spark, sf, "points", make)
 
 
 def first_vector(spark: SparkSession, sf: str) -> list[float]:
@@ -76,7 +101,17 @@ def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
 
 @query
 def census_by_kind(spark, sf):
-    return filegraph.census(paths(spark, sf)).drop("samples")
+    return filegraph.census(paths(spark, sf)).drop("samples", "truncated")
+
+
+@query
+def census_truncated(spark, sf):
+    return filegraph.census(paths(spark, sf), most=100).select("truncated", "skipped")
+
+
+@query
+def files_ingestable(spark, sf):
+    return filegraph.classify(paths(spark, sf)).where(filegraph.is_ingested(F.col("kind"))).select("path")
 
 
 @query
@@ -181,8 +216,11 @@ def point_ids(spark, sf):
 # entities
 
 
+WHOLE = entities.Caps(entities=None)
+
+
 def _found(spark, sf):
-    return materialize(entities.mentions(corpus(spark, sf)), "mentions")
+    return once(spark, sf, "mentions", lambda path: materialize(entities.mentions(corpus(spark, sf)), "mentions", path))
 
 
 @query
@@ -209,7 +247,7 @@ def entity_top200(spark, sf):
 @query
 def entity_names_aliases(spark, sf):
     found = _found(spark, sf)
-    return entities.surfaces(found, entities.ranked(found)).select("id", "surface", "n", F.col("rank").cast("bigint").alias("rank"))
+    return entities.surfaces(found, entities.ranked(found, WHOLE)).select("id", "surface", "n", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query
@@ -224,24 +262,24 @@ def entity_merge_notes(spark, sf):
 @query
 def entity_files_mentions(spark, sf):
     found = _found(spark, sf)
-    return entities.mention_edges(found, entities.ranked(found))
+    return entities.mention_edges(found, entities.ranked(found, WHOLE))
 
 
 @query
 def entity_sightings_top16(spark, sf):
     found = _found(spark, sf)
-    return entities.sightings(found, entities.ranked(found)).withColumn("rank", F.col("rank").cast("bigint"))
+    return entities.sightings(found, entities.ranked(found, WHOLE)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query
 def entity_relates_to(spark, sf):
     found = _found(spark, sf)
-    return entities.related_edges(found, entities.ranked(found))
+    return entities.related_edges(found, entities.ranked(found, WHOLE))
 
 
 @query
 def entity_stats(spark, sf):
-    return entities.link(corpus(spark, sf), found=_found(spark, sf)).stats
+    return entities.link(corpus(spark, sf), WHOLE, _found(spark, sf)).stats
 
 
 @query
@@ -252,7 +290,7 @@ def entity_degree(spark, sf):
 @query
 def entity_betweenness(spark, sf):
     found = _found(spark, sf)
-    kept = entities.ranked(found)
+    kept = entities.ranked(found, WHOLE)
     return rounded(graph.betweenness(kept.select("id"), entities.related_edges(found, kept)), "betweenness")
 
 
@@ -304,29 +342,32 @@ def bm25_postings(spark, sf):
 
 @query
 def bm25_topk(spark, sf):
-    return rounded(lexical.bm25(corpus(spark, sf), BM25_QUERY, 20), "score")
+    return rounded(index(spark, sf).search(BM25_QUERY, 20), "score")
 
 
 @query
 def bm25_repeated_term(spark, sf):
-    return rounded(lexical.bm25(corpus(spark, sf), REPEATED_QUERY, 20), "score")
+    return rounded(index(spark, sf).search(REPEATED_QUERY, 20), "score")
 
 
 @query
 def graph_expand(spark, sf):
-    hits = fusion.vector_hits(points(spark, sf), first_vector(spark, sf), 8)
-    return fusion.expand(hits, stored_entities(spark, sf), stored_edges(spark, sf), corpus(spark, sf), hits, 12)
+    hits = fusion.kept_list(fusion.vector_hits(points(spark, sf), first_vector(spark, sf), 8))
+    return fusion.expand(hits, stored_entities(spark, sf), stored_edges(spark, sf), kept_corpus(spark, sf), hits, 12)
+
+
+def _fused_lists(spark, sf):
+    lists = (fusion.ranked_list(fusion.kept_list(index(spark, sf).search(q, 20)), name, i) for i, (q, name) in enumerate(((BM25_QUERY, "a"), (REPEATED_QUERY, "b"))))
+    return fusion.fuse(next(lists).unionByName(next(lists)), 15)
 
 
 @query
 def rrf_fuse(spark, sf):
-    c = corpus(spark, sf)
-    lists = fusion.ranked_list(lexical.bm25(c, BM25_QUERY, 20), "a", 0).unionByName(fusion.ranked_list(lexical.bm25(c, REPEATED_QUERY, 20), "b", 1))
-    return rounded(fusion.fuse(lists, 15), "score", "rrf_score", places=6).withColumn("lists", F.array_join("lists", "+"))
+    return rounded(_fused_lists(spark, sf), "score", "rrf_score", places=6).withColumn("lists", F.array_join("lists", "+"))
 
 
 def _retrieved(spark, sf):
-    return fusion.retrieve(corpus(spark, sf), points(spark, sf), stored_entities(spark, sf), stored_edges(spark, sf), RETRIEVE_QUERY, first_vector(spark, sf), 12)
+    return fusion.retrieve(kept_corpus(spark, sf), points(spark, sf), stored_entities(spark, sf), stored_edges(spark, sf), RETRIEVE_QUERY, first_vector(spark, sf), 12, index=index(spark, sf), dims=64)
 
 
 @query
@@ -399,6 +440,27 @@ def node_labels(spark, sf):
     return graph.labels(graph.hop(stored_edges(spark, sf), FOCUS), nodes(spark, sf), stored_entities(spark, sf)).select("id", "label")
 
 
+@query
+def node_degrees(spark, sf):
+    return detail.degree(stored_edges(spark, sf), FOCUS)
+
+
+@query
+def card_first_passages(spark, sf):
+    return detail.first_passages(detail.entity_passages(stored_entities(spark, sf), kept_corpus(spark, sf), FOCUS))
+
+
+@query
+def card_first_files(spark, sf):
+    return detail.first_files(stored_entities(spark, sf), FOCUS)
+
+
+@query
+def card_hit_scores(spark, sf):
+    scored = detail.with_scores(kept_corpus(spark, sf).select("path", "chunk_index"), _fused_lists(spark, sf))
+    return rounded(scored, "score", "rrf_score").withColumn("lists", F.array_join("lists", "+"))
+
+
 # collection
 
 
@@ -416,6 +478,11 @@ def points_scroll(spark, sf):
     return kept.scroll(rows.agg(F.min("folder")).first()[0], None)
 
 
+@query
+def points_count(spark, sf):
+    return _collection(spark, sf)[0].read().groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def points_delete_upsert(spark, sf):
     kept, rows = _collection(spark, sf)
@@ -454,10 +521,15 @@ def edge_tubes(spark, sf):
     return rounded(stored_edges(spark, sf).select("src", "dst", "rel", layout.tube_radius(kind, F.col("weight")).alias("radius")), "radius")
 
 
+@query
+def edge_colours(spark, sf):
+    return stored_edges(spark, sf).select("src", "dst", "rel", layout.edge_colour(F.col("rel")).alias("colour"))
+
+
 @query
 def layout_linlog(spark, sf):
     found = _found(spark, sf)
-    kept = entities.ranked(found)
+    kept = entities.ranked(found, WHOLE)
     return layout.linlog(kept.select("id"), entities.related_edges(found, kept))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from loamgraph.functions.text import ACRONYM, KINDS, PHRASE, RESOLVED_ENDINGS, SKIPPED_FOLDERS, STARTERS, STRUCTURAL, TRIMMED, UUID
+from loamgraph.functions.text import ACRONYM, INGESTED, KINDS, PHRASE, RESOLVED_ENDINGS, SKIPPED_FOLDERS, STARTERS, STRUCTURAL, TRIMMED, UUID
+from loamgraph.operators.layout import EDGE_COLOURS, OTHER_COLOUR
 from loamgraph.functions.whitespace import NOT_WS, WS
 
 FOCUS, WALK = "entity:rank-fusion", "entity:query-echo"
@@ -57,7 +58,8 @@ MENTIONS = f"""mentions AS (SELECT slug, surface, path, chunk_index, CAST(sum(n)
   (SELECT *, {_SLUG.format('surface')} AS slug FROM (SELECT path, chunk_index, n, t AS surface FROM (SELECT *, {_TIDY} AS t FROM raw) WHERE {_FINE}))
   WHERE length(slug) >= 2 GROUP BY ALL)"""
 KEPT = "kept AS (SELECT 'entity:' || slug AS id, slug, CAST(sum(n) AS BIGINT) AS mentions FROM mentions GROUP BY slug HAVING sum(n) >= 2 ORDER BY mentions DESC, slug LIMIT 200)"
-LINKED = [CORPUS, RAW, MENTIONS, KEPT, "named AS (SELECT k.id, m.* FROM mentions m JOIN kept k USING (slug))"]
+ALL_KEPT = KEPT.replace(" LIMIT 200", "")
+LINKED = [CORPUS, RAW, MENTIONS, ALL_KEPT, "named AS (SELECT k.id, m.* FROM mentions m JOIN kept k USING (slug))"]
 SURFACES = "surfaces AS (SELECT id, surface, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, surface) AS rank FROM (SELECT id, surface, CAST(sum(n) AS BIGINT) AS n FROM named GROUP BY ALL))"
 MENTION_EDGES = "mention_edges AS (SELECT id AS src, path AS dst, 'mentions' AS rel, CAST(sum(n) AS BIGINT) AS weight FROM named GROUP BY id, path)"
 RELATED = """there AS (SELECT DISTINCT id, path, chunk_index FROM named),
@@ -66,7 +68,7 @@ EDGES = "edges AS (SELECT src, dst, rel, coalesce(weight, 1) AS weight FROM enti
 ENTITIES = "ents AS (SELECT id, name, coalesce(mentions, 0) AS mentions, files, sightings, coalesce(withheld, false) AS withheld FROM entities)"
 FIRST = "first AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings ORDER BY vec_id LIMIT 1)"
 _COS = "list_cosine_similarity(CAST({} AS DOUBLE[]), {})"
-POINTS = "points AS (SELECT c.path AS rel_path, c.chunk_index, c.content, e.embedding AS vector FROM (SELECT *, row_number() OVER (ORDER BY path, chunk_index) - 1 AS vec_id FROM corpus) c JOIN embeddings e USING (vec_id))"
+POINTS = "points AS (SELECT c.path AS rel_path, c.chunk_index, c.content, e.embedding AS vector FROM (SELECT *, row_number() OVER (ORDER BY path, chunk_index) - 1 AS vec_id FROM corpus) c JOIN embeddings e ON e.vec_id = c.vec_id % (SELECT count(*) FROM embeddings))"
 
 
 def _bm25(name: str, query: str, limit: int) -> str:
@@ -78,7 +80,7 @@ def _bm25(name: str, query: str, limit: int) -> str:
 {name}_f AS (SELECT path, chunk_index, content, len(tokens) AS dl, term, asked, len(list_filter(tokens, lambda w: w = term)) AS tf FROM {name}_d, {name}_t),
 {name}_i AS (SELECT term, ln(1 + (total - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) FILTER (tf > 0) AS df FROM {name}_f GROUP BY term), {name}_s),
 {name} AS (SELECT path, chunk_index, score, substr(content, 1, 220) AS preview, row_number() OVER (ORDER BY score DESC, path, chunk_index) AS rank FROM
-  (SELECT path, chunk_index, any_value(content) AS content, sum(asked * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM {name}_f JOIN {name}_i USING (term), {name}_s WHERE tf > 0 GROUP BY path, chunk_index)
+  (SELECT path, chunk_index, any_value(content) AS content, round(sum(asked * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 9) AS score FROM {name}_f JOIN {name}_i USING (term), {name}_s WHERE tf > 0 GROUP BY path, chunk_index)
   QUALIFY rank <= {limit})"""
 
 
@@ -151,6 +153,7 @@ SQL: dict[str, str] = {
     "chunk_documents": _within(*CHUNKED) + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS chunk_index, content FROM pieces WHERE content <> ''",
     "census_by_kind": _within(FILES, CLASSIFIED) + "SELECT " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in KINDS) + ", count(*) FILTER (kind IS NULL) AS skipped FROM classified",
     "census_samples": _within(FILES, CLASSIFIED) + "SELECT path FROM classified WHERE kind IS NOT NULL ORDER BY path LIMIT 12",
+    "census_truncated": _within(FILES, CLASSIFIED, "firsts AS (SELECT kind FROM classified ORDER BY path LIMIT 100)") + "SELECT (SELECT count(*) FROM classified) > 100 AS truncated, count(*) FILTER (kind IS NULL) AS skipped FROM firsts",
     "files_classified": _within(FILES, CLASSIFIED) + "SELECT path, ending, kind FROM classified",
     "files_walk_filtered": _within(FILES, "moved AS (SELECT concat(CASE length(path) % 4 WHEN 0 THEN 'node_modules/' WHEN 1 THEN '.cache/' WHEN 2 THEN 'page_files/' ELSE '' END, path) AS path FROM files)") + f"SELECT path FROM moved WHERE {_SKIPPED}",
     "file_nodes_capped": _within(FILES, CLASSIFIED, KNOWN) + "SELECT id, kind, label FROM known ORDER BY id LIMIT 400",
@@ -230,6 +233,13 @@ SQL: dict[str, str] = {
     "node_card_file": _within(CORPUS) + "SELECT path, chunk_index, '' AS surface, substr(content, 1, 280) AS excerpt FROM corpus WHERE path = (SELECT min(path) FROM corpus) ORDER BY chunk_index LIMIT 6",
     "entity_detail_chunks": _within(CORPUS, ENTITIES) + f"SELECT path, chunk_index, content FROM corpus WHERE path IN (SELECT unnest(files) FROM ents WHERE id = '{FOCUS}')",
     "node_labels": _within(EDGES, ADJACENT, ENTITIES) + f"SELECT id, coalesce(name, label, id) AS label FROM (SELECT b AS id FROM adjacent WHERE a = '{FOCUS}') {_LABELLED}",
+    "node_degrees": _within(EDGES) + f"SELECT count(*) AS degree FROM edges WHERE src = '{FOCUS}' OR dst = '{FOCUS}'",
+    "card_first_passages": _within(CORPUS, ENTITIES) + f"SELECT s.path, s.chunk_index, s.surface, coalesce(substr(c.content, 1, 280), '') AS excerpt FROM (SELECT unnest(sightings) AS s FROM ents WHERE id = '{FOCUS}') LEFT JOIN corpus c ON c.path = s.path AND c.chunk_index = s.chunk_index ORDER BY 1, 2, 3 LIMIT 8",
+    "card_first_files": f"SELECT unnest(files[1:8]) AS path, CAST(len(files) AS INTEGER) AS n FROM entities WHERE id = '{FOCUS}'",
+    "card_hit_scores": _within(CORPUS, _bm25("a", BM25_QUERY, 20), _bm25("b", REPEATED_QUERY, 20), _fused(("a", "a"), ("b", "b"), limit=15)) + "SELECT c.path, c.chunk_index, round(score, 6) AS score, round(rrf, 6) AS rrf_score, lists FROM corpus c LEFT JOIN fused f ON f.path = c.path AND f.chunk_index = c.chunk_index",
+    "edge_colours": _within(EDGES) + "SELECT src, dst, rel, CASE rel " + " ".join(f"WHEN '{rel}' THEN '{colour}'" for rel, colour in EDGE_COLOURS.items()) + f" ELSE '{OTHER_COLOUR}' END AS colour FROM edges",
+    "files_ingestable": _within(FILES, CLASSIFIED) + "SELECT path FROM classified WHERE kind IN (" + ", ".join(f"'{k}'" for k in INGESTED) + ")",
+    "points_count": _within(CORPUS, POINTS) + "SELECT split_part(rel_path, '/', 1) AS folder, count(*) AS n FROM points GROUP BY 1",
     "points_scroll": _within(CORPUS, POINTS) + "SELECT rel_path, chunk_index FROM points WHERE split_part(rel_path, '/', 1) = (SELECT min(split_part(rel_path, '/', 1)) FROM points)",
     "points_delete_upsert": _within(CORPUS, POINTS)
     + "SELECT rel_path || '#' || chunk_index AS id, split_part(rel_path, '/', 1) AS folder, chunk_index, CASE WHEN chunk_index = 0 THEN 'changed' ELSE content END AS content FROM points WHERE chunk_index = 0 OR split_part(rel_path, '/', 1) <> (SELECT min(split_part(rel_path, '/', 1)) FROM points)",

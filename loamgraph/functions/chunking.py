@@ -8,15 +8,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIZE, OVERLAP, MOST = 1800, 200, 400
+# Bytes of a chunk, and bytes it has in common with the one before.
+SIZE, OVERLAP = 1800, 200
 # The code points with the property White_Space.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
-def chunks_of(text: str | None, size: int = SIZE, overlap: int = OVERLAP, most: int | None = MOST) -> list[str]:
+def chunks_of(text: str | None, size: int = SIZE, overlap: int = OVERLAP, most: int | None = None) -> list[str]:
     """Chunks of about ``size`` bytes, cut after the last empty line, else the last line end, else hard.
 
-    The next chunk begins ``overlap`` bytes before the cut, unless that is no progress. Cuts never split a character:
+    The whole text is cut, unless ``most`` bounds the chunks. The next chunk begins ``overlap`` bytes before the cut, unless that is no progress. Cuts never split a character:
     the hard cut moves forward to the next one, the start of the overlap back.
     """
     raw = (text or "").strip(SPACES).encode()

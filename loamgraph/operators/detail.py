@@ -44,8 +44,30 @@ def node_passages(chunks: DataFrame, focus: str, most: int = 6) -> DataFrame:
 def entity_chunks(entities: DataFrame, chunks: DataFrame, focus: str) -> DataFrame:
     """All chunks of the files of an entity."""
     files = entities.where(F.col("id") == focus).select(F.explode("files").alias("path")).distinct()
-    return chunks.join(F.broadcast(files), "path", "left_semi")
+    return chunks.join(files, "path", "left_semi")
 
 
 def strongest_neighbours(edges: DataFrame, nodes: DataFrame, entities: DataFrame, focus: str, most: int = 16) -> DataFrame:
     return neighbours(edges, nodes, entities, focus).orderBy(F.desc("weight"), "id", "rel").limit(most)
+
+
+def degree(edges: DataFrame, focus: str) -> DataFrame:
+    """(degree): one row, the number of neighbour rows of a node, repeats counted."""
+    return incident(edges, focus).agg(F.count(F.lit(1)).alias("degree"))
+
+
+def first_passages(passages: DataFrame, most: int = 8) -> DataFrame:
+    """The passages a card shows, in order."""
+    return passages.orderBy("path", "chunk_index", "surface").limit(most)
+
+
+def first_files(entities: DataFrame, focus: str, most: int = 8) -> DataFrame:
+    """(path, n): the files a card names, in the order in which the entity has them, with the number of all."""
+    row = entities.where(F.col("id") == focus).select(F.size("files").alias("n"), F.posexplode(F.slice("files", 1, most)).alias("at", "path"))
+    return row.orderBy("at").select("path", "n")
+
+
+def with_scores(passages: DataFrame, hits: DataFrame) -> DataFrame:
+    """Passages with the score, fused score and lists of the hit that is the same chunk; nulls where none is."""
+    scored = hits.select("path", "chunk_index", "score", "rrf_score", "lists")
+    return passages.join(scored, ["path", "chunk_index"], "left")

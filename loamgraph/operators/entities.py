@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions.text import candidates_of, normal_name, slug
+from loamgraph.operators.pairs import pair_counts
 from loamgraph.operators.ranking import first_rows
 from loamgraph.operators.vectors import near_pairs
 
@@ -81,9 +82,8 @@ def sightings(found: DataFrame, kept: DataFrame, most: int | None = 16) -> DataF
 def related_edges(found: DataFrame, kept: DataFrame) -> DataFrame:
     """(src, dst, rel, weight): pairs of entities by the number of chunks that name both; src < dst."""
     there = _of(found, kept).select("id", "path", "chunk_index").distinct()
-    left, right = there.withColumnRenamed("id", "src"), there.withColumnRenamed("id", "dst")
-    pairs = left.join(right, ["path", "chunk_index"]).where("src < dst")
-    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")).select("src", "dst", F.lit("relates_to").alias("rel"), "weight")
+    pairs = pair_counts(there, ["path", "chunk_index"], "id")
+    return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("relates_to").alias("rel"), F.col("n").alias("weight"))
 
 
 def conflict_edges(vectors: DataFrame, ranked_ids: DataFrame, caps: Caps = Caps(), *, key: str = "id", vector: str = "vector") -> DataFrame:

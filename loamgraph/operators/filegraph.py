@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions.text import INGESTED, KINDS, NO_IMPORTS, RESOLVED_ENDINGS, ending_of, folder_of, kind_of, link_specs, module_specs, quoted_specs, strip_html, walked
-from loamgraph.operators.ranking import first_rows
+from loamgraph.operators.ranking import first_rows, with_position
 
 EDGE = ("src", "dst", "rel", "weight")
 
@@ -17,12 +17,17 @@ def classify(files: DataFrame, path: str = "path") -> DataFrame:
     return reached.withColumn("ending", ending_of(F.col(path))).withColumn("kind", kind_of(F.col("ending")))
 
 
-def census(files: DataFrame, path: str = "path", samples: int = 12) -> DataFrame:
-    """One row: the number of files of each kind, the skipped ones, and the first recognised paths."""
-    kinds = classify(files, path)
+def census(files: DataFrame, path: str = "path", samples: int = 12, most: int | None = None) -> DataFrame:
+    """One row: the number of files of each kind, the skipped ones, the first recognised paths, and ``truncated``.
+
+    ``most`` null counts all files; else only the first in path order are, and ``truncated`` tells that there are more."""
+    walked_ = classify(files, path)
+    kinds = first_rows(walked_, [F.col(path)], most)
     counts = [F.count_if(F.col("kind") == k).alias(k) for k in KINDS]
     first = first_rows(kinds.where("kind IS NOT NULL").select(path), [F.col(path)], samples).agg(F.array_sort(F.collect_list(path)).alias("s"))
-    return kinds.agg(*counts, F.count_if(F.col("kind").isNull()).alias("skipped")).withColumn("samples", first.scalar())
+    return kinds.agg(*counts, F.count_if(F.col("kind").isNull()).alias("skipped"), F.count(F.lit(1)).alias("_n")).withColumn("samples", first.scalar()).withColumn(
+        "truncated", F.lit(False) if most is None else walked_.agg(F.count(F.lit(1)).alias("n")).scalar() > F.col("_n")
+    ).drop("_n")
 
 
 def is_ingested(kind):
@@ -71,13 +76,15 @@ def resolve(imports: DataFrame, files: DataFrame, path: str = "path") -> DataFra
 
 
 def sibling_edges(nodes: DataFrame) -> DataFrame:
-    """Files of a folder in a chain, closed to a ring where there are more than two."""
-    inside = Window.partitionBy("folder").orderBy("id")
-    whole = Window.partitionBy("folder")
-    placed = nodes.select("id", folder_of(F.col("id")).alias("folder")).distinct()
-    chained = placed.select("id", F.lead("id").over(inside).alias("following"), F.min("id").over(whole).alias("first"), F.count(F.lit(1)).over(whole).alias("n"))
-    dst = F.when(F.col("following").isNotNull(), F.col("following")).when(F.col("n") > 2, F.col("first"))
-    return chained.select(F.col("id").alias("src"), dst.alias("dst")).where("dst IS NOT NULL").select("src", "dst", F.lit("sibling").alias("rel"), F.lit(1).cast("bigint").alias("weight"))
+    """Files of a folder in a chain, closed to a ring where there are more than two.
+
+    All files are numbered in order of folder and id by range, and each is joined with the next number, so a folder of
+    any size is spread over the tasks; of a folder only its first and last file and their number are aggregated."""
+    placed = with_position(nodes.select("id", folder_of(F.col("id")).alias("folder")).distinct(), ["folder", "id"])
+    following = placed.select((F.col("position") - 1).alias("position"), F.col("folder").alias("_folder"), F.col("id").alias("dst"))
+    chain = placed.join(following, "position").where("folder = _folder").select(F.col("id").alias("src"), "dst")
+    ends = placed.groupBy("folder").agg(F.max("id").alias("src"), F.min("id").alias("dst"), F.count(F.lit(1)).alias("n"))
+    return chain.unionByName(ends.where("n > 2").select("src", "dst")).select("src", "dst", F.lit("sibling").alias("rel"), F.lit(1).cast("bigint").alias("weight"))
 
 
 def chunk_nodes(chunks: DataFrame) -> DataFrame:

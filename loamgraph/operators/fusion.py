@@ -47,8 +47,11 @@ def expand(hits: DataFrame, entities: DataFrame, edges: DataFrame, chunks: DataF
     both = related.select(F.col("src").alias("id"), F.col("dst").alias("other"), "weight").unionByName(related.select(F.col("dst").alias("id"), F.col("src").alias("other"), "weight"))
     others = both.join(F.broadcast(seeds), "id", "left_semi").groupBy("other").agg(F.max("weight").alias("weight"))
     reached = files.select(F.col("id").alias("other"), "path").join(others, "other").join(F.broadcast(hit_files), "path", "left_anti").groupBy("path").agg(F.max("weight").alias("score"))
-    found = chunks.select("path", "chunk_index", "content").join(reached, "path").join(F.broadcast(occupied.select("path", "chunk_index")), ["path", "chunk_index"], "left_anti")
-    return found.select("path", "chunk_index", F.col("score").cast("double").alias("score"), preview(F.col("content")).alias("preview")).orderBy(F.desc("score"), "path", "chunk_index").limit(limit)
+    found = chunks.select("path", "chunk_index").join(reached, "path").join(F.broadcast(occupied.select("path", "chunk_index")), ["path", "chunk_index"], "left_anti")
+    best = kept_list(found.select("path", "chunk_index", F.col("score").cast("double").alias("score")).orderBy(F.desc("score"), "path", "chunk_index").limit(limit))
+    # only the paths of the few best are read for their content
+    shown = chunks.where(F.col("path").isin([r["path"] for r in best.select("path").collect()])).select("path", "chunk_index", preview(F.col("content")).alias("preview"))
+    return best.join(shown, ["path", "chunk_index"]).orderBy(F.desc("score"), "path", "chunk_index")
 
 
 @dataclass(frozen=True)
@@ -60,19 +63,29 @@ class Retrieved:
     graph_only_files: DataFrame
 
 
-def vector_hits(points: DataFrame, query: list[float], k: int) -> DataFrame:
+def kept_list(hits: DataFrame) -> DataFrame:
+    """A hit list of a few dozen rows, computed once."""
+    return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
+
+
+def vector_hits(points: DataFrame, query: list[float], k: int, dims: int | None = None) -> DataFrame:
     """(path, chunk_index, score, preview) of the nearest points (id, vector, rel_path, chunk_index, content)."""
-    near = vectors.top_k(points.where("rel_path <> ''"), query, k, key="id", vector="vector")
-    return near.join(points, "id").select(F.col("rel_path").alias("path"), "chunk_index", "score", preview(F.col("content")).alias("preview"))
+    near = kept_list(vectors.top_k(points.where("rel_path <> ''"), query, k, key=["rel_path", "chunk_index", "id"], vector="vector", dims=dims))
+    ids = [r["id"] for r in near.select("id").collect()]  # at most k, pushed down to the second scan
+    shown = points.where(F.col("id").isin(ids)).select("id", preview(F.col("content")).alias("preview")).dropDuplicates(["id"])
+    return near.join(shown, "id").select(F.col("rel_path").alias("path"), "chunk_index", "score", "preview")
+
 
+def retrieve(chunks: DataFrame, points: DataFrame, entities: DataFrame, edges: DataFrame, query: str, vector: list[float], limit: int = 10, *, index: lexical.LexicalIndex | None = None, dims: int | None = None) -> Retrieved:
+    """Nearest vectors, BM25 and the graph expansion from the former, fused by rank.
 
-def retrieve(chunks: DataFrame, points: DataFrame, entities: DataFrame, edges: DataFrame, query: str, vector: list[float], limit: int = 10) -> Retrieved:
-    """Nearest vectors, BM25 and the graph expansion from the former, fused by rank."""
+    Each list is computed once. ``index`` is that of the chunks, made for this query where none is given."""
     width = max(limit, LEAST_LIST)
-    near = vector_hits(points, vector, width)
-    words = lexical.bm25(chunks, query, width)
+    near = kept_list(vector_hits(points, vector, width, dims))
+    words = index.search(query, width) if index else lexical.bm25(chunks, query, width)
+    words = kept_list(words)
     occupied = near.select("path", "chunk_index").unionByName(words.select("path", "chunk_index")).distinct()
-    graph = expand(near, entities, edges, chunks, occupied, width)
+    graph = kept_list(expand(near, entities, edges, chunks, occupied, width))
     lists = ranked_list(near, "vector", 0).unionByName(ranked_list(words, "lexical", 1)).unionByName(ranked_list(graph, "graph", 2))
     hits = fuse(lists, limit)
     has = lambda name: F.count_if(F.array_contains("lists", name))

@@ -28,7 +28,7 @@ class Verdict:
 
 def build_prompt(items: list[str]) -> str:
     """One line a name, to be answered by KEEP with name and kind, or DROP."""
-    head = f"For each line answer KEEP <name> <kind> or DROP. Kinds: {', '.join(VERDICT_KINDS)}. Give exactly {len(items)} lines, in order."
+    head = f"Judge whether each of the {len(items)} names below is a proper name. Write one line for each, in the same order: KEEP, the right spelling and one of {'/'.join(VERDICT_KINDS)}; or DROP alone."
     return "\n".join([head, *items])
 
 

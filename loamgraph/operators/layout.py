@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 
 from loamgraph.operators.ranking import with_position
 
+# Colours of nodes' kinds and edges' relations.
+EDGE_COLOURS = {"sibling": "#d4a84b", "contains": "#22d3ee", "next": "#67e8f9", "relates_to": "#a78bfa", "mentions": "#f472b6", "same_as": "#f8fafc", "conflicts_with": "#fbbf24"}
+OTHER_COLOUR = "#8a938c"
+# Fixed values of the forces: repulsion, spring, length, length a spread, damping, most speed, radius of the ball.
+REPULSION, SPRING, LENGTH, LENGTH_SPREAD, DAMPING, MOST_SPEED, BALL = 420, 0.035, 26, 7, 0.82, 22, 480
+#: Pairs of nodes whose forces are held at a time (about 200 MB).
+PAIRS_AT_A_TIME = 4_000_000
 GOLDEN = math.pi * (1 + math.sqrt(5))
 
 
@@ -64,32 +71,36 @@ def relax(start: pd.DataFrame, springs: np.ndarray, spread: float = 1.0) -> np.n
     k = min(15.0, max(1.0, spread))
     at, speed = start[["x", "y", "z"]].to_numpy(float).copy(), np.zeros((len(start), 3))
     weight = np.log2(start["degree"].to_numpy(float) + 1)
+    step = max(1, PAIRS_AT_A_TIME // max(1, len(start)))
     rounds = min(48, 16 + math.ceil(len(start) / 8))
     for r in range(rounds if len(start) > 1 else 0):
         cool = 1 - r / rounds
-        away = at[:, None, :] - at[None, :, :]
-        square = (away**2).sum(axis=2) + 1
-        push = 420 * cool / square * (1 + (weight[:, None] + weight[None, :]) * k)
-        np.fill_diagonal(push, 0)
-        speed += (away / np.sqrt(square)[:, :, None] * push[:, :, None]).sum(axis=1)
+        for i in range(0, len(at), step):
+            part = slice(i, i + step)
+            away = at[part, None, :] - at[None, :, :]
+            square = (away**2).sum(axis=2) + 1
+            push = REPULSION * cool / square * (1 + (weight[part, None] + weight[None, :]) * k)
+            # a node does not push itself, being no way off
+            speed[part] += (away * (push / np.sqrt(square))[:, :, None]).sum(axis=1)
         if len(springs):
             along = at[springs[:, 1]] - at[springs[:, 0]]
             length = np.linalg.norm(along, axis=1) + 0.1
-            pull = along / length[:, None] * (0.035 * (length - (26 + k * 7)) * cool)[:, None]
+            pull = along / length[:, None] * (SPRING * (length - (LENGTH + k * LENGTH_SPREAD)) * cool)[:, None]
             np.add.at(speed, springs[:, 0], pull)
             np.add.at(speed, springs[:, 1], -pull)
-        speed *= 0.82
-        speed *= np.minimum(1, 22 / np.maximum(np.linalg.norm(speed, axis=1), 1e-12))[:, None]
+        speed *= DAMPING
+        speed *= np.minimum(1, MOST_SPEED / np.maximum(np.linalg.norm(speed, axis=1), 1e-12))[:, None]
         at += speed
-        at *= np.minimum(1, 480 / np.maximum(np.linalg.norm(at, axis=1), 1e-12))[:, None]
+        at *= np.minimum(1, BALL / np.maximum(np.linalg.norm(at, axis=1), 1e-12))[:, None]
     return at
 
 
-def linlog(nodes: DataFrame, edges: DataFrame, spread: float = 1.0, most: int = 2000) -> DataFrame:
-    """(id, x, y, z) of entity nodes after the forces; one small graph is one group, and more than ``most`` nodes is an error."""
+def linlog(nodes: DataFrame, edges: DataFrame, spread: float = 1.0) -> DataFrame:
+    """(id, x, y, z) of entity nodes after the forces.
+
+    All nodes push each other, so one graph is one group; its memory grows with the nodes, as forces are summed in
+    blocks, and its time with their square. It is meant for graphs that are looked at."""
     placed = place_entities(nodes, edges, spread)
-    if (n := placed.count()) > most:
-        raise ValueError(f"{n} nodes; a layout is made of at most {most}")
     inner = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
 
     def run(_: tuple, points: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
@@ -116,3 +127,11 @@ def membranes(edges: DataFrame, most: int = 6) -> DataFrame:
 def tube_radius(kind: Column, weight: Column) -> Column:
     """The drawn thickness of an edge: ``file`` 0.55, ``chunk`` 0.28, else growing with the weight."""
     return F.when(kind == "file", 0.55).when(kind == "chunk", 0.28).otherwise(0.12 + F.log(weight + 1) * 0.16)
+
+
+def edge_colour(rel: Column) -> Column:
+    """The colour an edge is drawn in by its relation."""
+    chosen = F.when(F.lit(False), "")
+    for name, colour in EDGE_COLOURS.items():
+        chosen = chosen.when(rel == name, colour)
+    return chosen.otherwise(OTHER_COLOUR)

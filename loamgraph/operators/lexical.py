@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.functions.text import preview, tokens_of
+from loamgraph.plans.shared import new_folder
 
 K1, B = 1.2, 0.75
 
@@ -30,24 +32,58 @@ def term_statistics(chunks: DataFrame) -> DataFrame:
     return postings(chunks).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
-def bm25(chunks: DataFrame, query: str, limit: int | None = None) -> DataFrame:
-    """(path, chunk_index, score, preview) of the chunks with a positive score, best first.
+class LexicalIndex:
+    """Postings, document frequencies and previews of a corpus, written once and read by many queries.
 
-    One pass counts chunks, their mean length and the document frequency of each query term (one row comes back); the
-    second scores in an expression, so nothing is shuffled but the few best rows of each task. Ties go by path and
-    index; an empty query or corpus has no hits.
+    Postings lie in order of their term (a frequent term over several files), so that a query reads those of its own
+    terms by the files' statistics; previews lie in order of the path. A query never reads the corpus.
     """
-    asked = query_terms(query)
-    terms = sorted(asked)
-    counted = chunks.select("path", "chunk_index", "content", tokens_of(F.col("content")).alias("_tokens"))
-    times = lambda term: F.size(F.filter("_tokens", lambda w: w == term))
-    tf = {t: times(t) for t in terms}
-    row = counted.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.size("_tokens")), F.lit(0.0)), *(F.coalesce(F.sum(F.when(tf[t] > 0, 1)), F.lit(0)) for t in terms)).first()
-    n, mean, frequency = row[0], max(row[1], 1.0), dict(zip(terms, row[2:], strict=True))
-    score = F.lit(0.0)
-    for t in terms:
-        idf = F.log(F.lit(1.0 + (n - frequency[t] + 0.5) / (frequency[t] + 0.5)))
-        score = score + asked[t] * idf * tf[t] * (K1 + 1) / (tf[t] + K1 * (1 - B + B * F.size("_tokens") / mean))
-    scored = counted.withColumn("score", score).where("score > 0").select("path", "chunk_index", "score", preview(F.col("content")).alias("preview"))
-    best = scored.orderBy(F.desc("score"), "path", "chunk_index")
-    return best if limit is None else best.limit(limit)
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @classmethod
+    def build(cls, chunks: DataFrame, path: str) -> LexicalIndex:
+        """Index (path, chunk_index, content); a repeated (path, chunk_index) counts as two chunks."""
+        index = cls(chunks.sparkSession, path)
+        previews = chunks.select("path", "chunk_index", F.size(tokens_of(F.col("content"))).alias("dl"), preview(F.col("content")).alias("preview"))
+        previews.repartitionByRange("path", "chunk_index").sortWithinPartitions("path", "chunk_index").write.mode("overwrite").parquet(f"{index.path}/previews")
+        found = postings(chunks).repartitionByRange("term", "path", "chunk_index").sortWithinPartitions("term", "path", "chunk_index")
+        found.write.mode("overwrite").parquet(f"{index.path}/postings")
+        return index
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def postings(self) -> DataFrame:
+        return self._read("postings")
+
+    def search(self, query: str, limit: int | None = None) -> DataFrame:
+        """(path, chunk_index, score, preview) of the chunks with a positive score, best first; ties by path and index.
+
+        Scores are rounded to nine places, so that ties do not hang on the order in which a sum is taken. The number of
+        chunks, their mean length and the query terms' frequencies come back as one row a term. An empty
+        query or corpus has no hits."""
+        asked = query_terms(query)
+        n, mean = self._read("previews").agg(F.count(F.lit(1)), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
+        ours = self.postings().where(F.col("term").isin(sorted(asked)))
+        frequency = dict(ours.groupBy("term").agg(F.count(F.lit(1))).collect())
+        weights = [(t, asked[t] * math.log(1 + (n - f + 0.5) / (f + 0.5))) for t, f in sorted(frequency.items())]
+        weight = F.lit(0.0)
+        for t, w in weights:
+            weight = F.when(F.col("term") == t, F.lit(w)).otherwise(weight)
+        part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(max(mean, 1.0))))
+        scored = ours.groupBy("path", "chunk_index").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
+        best = scored.orderBy(F.desc("score"), "path", "chunk_index")
+        previews = self._read("previews").select("path", "chunk_index", "preview")
+        if limit is not None:
+            best = best.limit(limit)
+            kept = best.collect()  # at most ``limit`` rows; their paths are pushed down to the previews
+            best = self.spark.createDataFrame(kept, best.schema)
+            previews = previews.where(F.col("path").isin(sorted({r["path"] for r in kept})))
+        return best.join(previews, ["path", "chunk_index"]).select("path", "chunk_index", "score", "preview").orderBy(F.desc("score"), "path", "chunk_index")
+
+
+def bm25(chunks: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """One search of a corpus without an index; several should share a ``LexicalIndex``."""
+    return LexicalIndex.build(chunks, new_folder(chunks.sparkSession, "lexical")).search(query, limit)

@@ -1,7 +1,7 @@
 """Tables kept for the length of a job in the folder that all executors share.
 
 A written table cuts the lineage and outlives a lost executor. The folder is the one the cluster names in
-``spark.checkpoint.dir``; only where that is unset (tests on one machine) is a temporary one made.
+``spark.checkpoint.dir``; only where that is unset on one machine (tests) is a temporary one made, on a cluster it is an error.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def shared_root(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="loamgraph-")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,11 @@ def list_files(root: str, most: int | None = MOST_FILES) -> tuple[list[str], boo
     return found, False
 
 
+def _literal(root: str) -> str:
+    """The root with the characters that Spark takes for patterns escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", root)
+
+
 def read_folder(spark: SparkSession, root: str, *, glob: str | None = None) -> DataFrame:
     """(path, length, modified, content) of every file, read by the executors; the content is only loaded where selected.
 
@@ -41,9 +48,11 @@ def read_folder(spark: SparkSession, root: str, *, glob: str | None = None) -> D
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    base = root.rstrip("/") + "/"
-    rel = with_slashes(F.regexp_replace("path", "^(?:file:/*)?/?" + base.lstrip("/").replace(".", r"\."), ""))
-    files = reader.load(root).select(rel.alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
+    where, fs = _hadoop_path(spark, root)
+    # Spark names files by the address of the root and what comes after it, so that much is cut off
+    base = fs.makeQualified(where).toString().rstrip("/") + "/"
+    rel = with_slashes(F.expr(f"substring(path, {len(base) + 1})"))
+    files = reader.load(_literal(root)).select(rel.alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
     return files.where(walked(F.col("path"))).unionByName(_read_hidden(spark, root, glob))
 
 
@@ -117,16 +126,19 @@ def read_texts(files: DataFrame, pdf_text: Callable[[bytes], str] | None = None)
         skipped = skipped.unionByName(pdfs.select("path", F.lit("pdf: no extractor").alias("reason")))
     else:
 
-        @F.udf(T.StructType.fromDDL("text string, reason string"), useArrow=True)
-        def extracted(content):
-            try:
-                return (pdf_text(bytes(content)), None)
-            except Exception as error:
-                return (None, f"pdf: {error}")
-
-        read = pdfs.withColumn("x", extracted("content"))
-        texts = texts.unionByName(read.where("x.reason IS NULL").select("path", "kind", F.col("x.text").alias("text")))
-        skipped = skipped.unionByName(read.where("x.reason IS NOT NULL").select("path", F.col("x.reason").alias("reason")))
+        def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found: list[tuple[str | None, str | None]] = []
+                for content in batch.column(1).to_pylist():
+                    try:
+                        found.append((pdf_text(content), None))
+                    except Exception as error:
+                        found.append((None, f"pdf: {error}"))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in found], pa.string()) for i in range(2))], names=["path", "text", "reason"])
+
+        read = pdfs.select("path", "content").mapInArrow(extract, "path string, text string, reason string").withColumn("kind", F.lit("pdf"))
+        texts = texts.unionByName(read.where("reason IS NULL").select("path", "kind", "text"))
+        skipped = skipped.unionByName(read.where("reason IS NOT NULL").select("path", "reason"))
     blank = trim_spaces(F.col("text")) == ""
     skipped = skipped.unionByName(texts.where(blank).select("path", F.concat("path", F.lit(": empty")).alias("reason")))
     return texts.where(~blank), skipped

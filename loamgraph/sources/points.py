@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.functions.text import point_id
-from loamgraph.plans.shared import children
+from loamgraph.operators.vectors import checked
+from loamgraph.plans.shared import children, remove
 
 SCHEMA = "id string, vector array<float>, folder string, rel_path string, abs_path string, chunk_index int, content string, source string"
 
@@ -17,12 +20,6 @@ def make_points(chunks: DataFrame, folder: str, root: str = "", source: str = "i
     return chunks.select(point_id(key).alias("id"), "vector", F.lit(folder).alias("folder"), F.col("path").alias("rel_path"), F.concat(F.lit(root), "path").alias("abs_path"), "chunk_index", "content", F.lit(source).alias("source"))
 
 
-def latest(points: DataFrame, version: str = "version") -> DataFrame:
-    """One row an id: that with the greatest version."""
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(version)))
-    return points.withColumn("_place", place).where("_place = 1").drop("_place")
-
-
 class Collection:
     """A folder of Parquet files partitioned by ``folder``, which a filter on it prunes."""
 
@@ -37,23 +34,33 @@ class Collection:
     def read(self) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(self.path)
 
-    def replace_folder(self, points: DataFrame) -> None:
-        """Write points over those of their folders; other folders stay, and a failure leaves the old ones."""
-        sized = points.withColumn("vector", F.when(F.size("vector") == self.dims, F.col("vector")).otherwise(F.raise_error(F.lit(f"vectors must have {self.dims} numbers"))))
-        sized.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(self.path)
+    def replace_folder(self, points: DataFrame, folder: str | None = None) -> None:
+        """Write points over those of their folders; other folders stay, and a failure leaves the old ones.
+
+        With ``folder``, all points are of it, and without any points it is emptied."""
+        checked(points, "vector", self.dims).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(self.path)
+        if folder is not None and not points.limit(1).count():
+            self.delete_folder(folder)
+
+    def _rewrite(self, kept: DataFrame, points: DataFrame) -> None:
+        staged = f"{self.path}-staged-{uuid.uuid4().hex}"
+        kept.unionByName(points.select(kept.columns)).write.parquet(staged)
+        self.replace_folder(self.spark.read.schema(SCHEMA).parquet(staged))
+        remove(self.spark, staged)
 
     def upsert(self, points: DataFrame) -> None:
         """Add points, replacing those of the same id, in the folders they are in."""
         folders = points.select("folder").distinct()
-        old = self.read().join(F.broadcast(folders), "folder", "left_semi").withColumn("version", F.lit(0))
-        merged = latest(old.unionByName(points.withColumn("version", F.lit(1)))).drop("version")
-        staged = f"{self.path}-staged"
-        merged.write.mode("overwrite").parquet(staged)
-        self.replace_folder(self.spark.read.schema(SCHEMA).parquet(staged))
+        old = self.read().join(folders, "folder", "left_semi").join(points.select("id"), "id", "left_anti")
+        self._rewrite(old.select(*self.read().columns), points.dropDuplicates(["id"]))
 
-    def delete_folder(self, folder: str) -> None:
-        from loamgraph.plans.shared import remove
+    def replace_paths(self, points: DataFrame, paths: DataFrame, folder: str) -> None:
+        """Put ``points`` in the place of all points of the ``paths`` (path) of a folder, so that a file may shrink or go."""
+        old = self.read().where(F.col("folder") == folder)
+        kept = old.join(paths.select(F.col("path").alias("rel_path")), "rel_path", "left_anti").select(*old.columns)
+        self._rewrite(kept, points)
 
+    def delete_folder(self, folder: str) -> None:
         for name in children(self.spark, self.path):
             if name.startswith("folder=") and self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name[7:]) == folder:
                 remove(self.spark, f"{self.path}/{name}")

@@ -47,7 +47,7 @@ def test_engine(spark, folder, tmp_path):
     engine = Engine(spark, str(tmp_path / "home"), limits=Limits(None, None, None), progress=(said := []).append)
     report = engine.ingest(folder)
     assert report.named and not report.truncated and len(said) == 3
-    assert report.files == 5 and report.stats.first()["entities"] >= 2
+    assert report.files == 5 and engine.scan(folder)[1].where("kind = 'chunk'").count() == engine.table("chunks").count() and report.stats.first()["entities"] >= 2
     edges = {(r["src"], r["dst"], r["rel"]) for r in engine.table("edges").collect()}
     assert ("src/a.ts", "src/b.ts", "imports") in edges and ("alpha.md", "beta.md", "imports") in edges and ("entity:claude-shannon", "entity:information-theory", "relates_to") in edges
     assert "src/b.ts" in {r["id"] for r in engine.hop("src/a.ts").collect()} and engine.blast("alpha.md").count() > 2
@@ -73,7 +73,7 @@ def test_collection(spark, tmp_path):
     assert [tuple(r) for r in store.scroll("x y/z", 2).collect()] == [("a", 0), ("a", 1)]
     store.delete_folder("x y/z")
     assert store.count() == 2
-    with pytest.raises(Exception, match="2 numbers"):
+    with pytest.raises(Exception, match="expected 2 numbers"):
         store.replace_folder(rows("v", "t", 1).withColumn("vector", F.array(F.lit(1.0).cast("float"))))
     assert store.count() == 2
 
@@ -106,6 +106,75 @@ def test_a_stream_takes_long_texts_whole(spark, tmp_path):
     assert counts == [(True, 1), (False, 0)]
 
 
+def test_folders_are_kept_apart(spark, tmp_path):
+    rows = lambda **texts: spark.createDataFrame([(f"{k}.md", t) for k, t in texts.items()], "path string, text string")
+    said = []
+    engine = Engine(spark, str(tmp_path / "home"), HashingEmbedder(16), settings_folder=str(tmp_path / "set"), client=lambda e: lambda prompt: said.append(prompt) or "\n".join("DROP" for _ in prompt.splitlines()[1:]) or "ready")
+    engine.ingest_table(rows(a1="Claude Shannon wrote of entropy. Claude Shannon again.", same="entropy of A"), "A")
+    engine.ingest_table(rows(b1="Claude Shannon wrote of entropy in B. Claude Shannon.", b2="entropy", same="entropy of B"), "B")
+    assert engine.store.folders() == ["A", "B"] and engine.status()["ready"] and engine.status()["error"] is None
+    paths = lambda **how: {r["path"] for r in engine.retrieve("entropy Shannon", **how).hits.collect()}
+    assert paths(folder="A") == {"a1.md", "same.md"} and paths(folder="B") == {"b1.md", "b2.md", "same.md"}
+    assert paths() == {"A/a1.md", "A/same.md", "B/b1.md", "B/b2.md", "B/same.md"}
+    assert {r["path"] for r in engine.table("chunks").collect()} == {"b1.md", "b2.md", "same.md"} and engine.table("chunks", "A").count() == 2
+    again = Engine(spark, str(tmp_path / "home"), HashingEmbedder(16))
+    assert again.table("chunks", "A").count() == 2 and again.hop("a1.md", "A").count() >= 1
+    with pytest.raises(ValueError, match="name a folder"):
+        again.table("chunks")
+    card = engine.node_detail("same.md", "A", engine.retrieve("entropy", "A").hits)
+    assert card["node"].first()["degree"] == engine.hop("same.md", "A").count() and card["passages"].first()["rrf_score"] > 0
+    assert engine.node_detail("entity:claude-shannon", "A")["files"].first()["path"] == "a1.md"
+    engine.save_endpoint(" http://x ", "", "m")
+    assert engine.status()["endpoint"] and Settings.load(str(tmp_path / "set")).endpoint.url == "http://x" and said and not engine.table("entities").where("NOT withheld").count()
+    engine.clear_endpoint()
+    assert not engine.status()["endpoint"] and engine.table("entities").where("NOT withheld").count() and engine.dismiss_welcome().welcome_seen
+    engine.ingest_table(rows(), "A")
+    assert not engine.points.read().where("folder = 'A'").count() and engine.points.read().where("folder = 'B'").count() == 3
+    engine.remove("B")
+    assert engine.store.folders() == ["A"] and engine.points.count() == 0
+
+
+def test_a_failed_change_leaves_the_old_tables(spark, tmp_path):
+    from loamgraph.plans.store import Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.put("f", {"t": spark.range(3)})
+    with pytest.raises(Exception, match="broken"):
+        store.put("f", {"t": spark.range(5), "u": spark.range(1).select(F.raise_error(F.lit("broken")).alias("x"))})
+    assert store.read("t", "f").count() == 3 and store.tables() == {"t"}
+    for n in range(3):
+        store.put("f", {"t": spark.range(n)})
+    assert store.read("t", "f").count() == 2 and len(os.listdir(tmp_path / "s" / "parts")) == 2
+
+
+@pytest.mark.parametrize("name", ["lab c++ (1)", "a.b [x] {y}", "plain"])
+def test_roots_of_any_name(spark, tmp_path, name):
+    for file in ("__init__.py", "sub/x.md", ".hid.md"):
+        path = tmp_path / name / file
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("text")
+    assert {r["path"] for r in read_folder(spark, str(tmp_path / name)).collect()} == {"__init__.py", "sub/x.md", ".hid.md"}
+
+
+def test_a_stream_lets_files_shrink(spark, tmp_path):
+    store, embedder = Collection(spark, str(tmp_path / "points"), 16).ensure(), HashingEmbedder(16)
+    for text in ("line of text\n" * 1000, "short", ""):
+        spark.createDataFrame([("a.md", text), ("b.md", "kept")], "path string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest_stream(stream_texts(spark, str(tmp_path / "in")), store, embedder, "live", str(tmp_path / "state")).awaitTermination()
+    assert [(r["rel_path"], r["content"]) for r in store.read().collect()] == [("b.md", "kept")]
+
+
+def test_widths_are_checked(spark):
+    from loamgraph.operators.vectors import top_k
+
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "vec_id bigint, embedding array<float>")
+    assert top_k(points, [1.0, 0.0], 1, dims=2).count() == 1
+    with pytest.raises(ValueError, match="expected 2"):
+        top_k(points, [1.0], 1, dims=2)
+    with pytest.raises(Exception, match="expected 3"):
+        top_k(points, [1.0, 0.0, 0.0], 1, dims=3).collect()
+
+
 def test_embedding(spark):
     e = HashingEmbedder(8)
     frame = embed(spark.createDataFrame([("a b",), (None,)], "t string"), "t", e)
@@ -150,6 +219,7 @@ def test_tools(spark):
     call = {"id": "1", "function": {"name": "hop", "arguments": json.dumps({"focus": "a"})}}
     script = iter([{"tool_calls": [call, {"function": {"name": "fly"}}, {"function": {"name": "retrieve", "arguments": {"query": "q"}}}]}, {"content": " done "}])
     reply = asking.ask("why", lambda messages, tools: next(script), lambda q: [hit], nodes, edges, ents)
+    assert asking.tools_refused("function calling is Unsupported") and not asking.tools_refused("the function failed") and asking.message_text({"content": " ", "reasoning_content": "x"}) == ""
     assert reply.answer == "done" and reply.highlight == ["a", "a#0", "b"] and [t.split()[0] for t in reply.trace] == ["hop", "fly", "retrieve"]
 
     def refusing(messages, tools):
@@ -157,8 +227,8 @@ def test_tools(spark):
             raise RuntimeError("this model does not support tools")
         return {"reasoning_content": "plain"}
 
-    assert asking.ask("why", refusing, lambda q: [hit], nodes, edges, ents) == asking.Reply("plain", [], ["no tools at this endpoint; answered from the excerpts"], False)
-    with pytest.raises(RuntimeError, match="kept calling"):
+    assert asking.ask("why", refusing, lambda q: [hit], nodes, edges, ents) == asking.Reply("plain", [], [asking.WITHOUT_TOOLS], False)
+    with pytest.raises(RuntimeError, match="no answer after"):
         asking.ask("why", lambda m, t: {"tool_calls": [call]}, lambda q: [], nodes, edges, ents)
     assert asking.tool_calls({"tool_calls": [{"function": {"name": "x", "arguments": "nonsense"}}, {"function": {}}]}) == [asking.ToolCall("", "x", {})]
     assert {asking.completions_url(u) for u in ("http://h", "http://h/v1/", "http://h/v1/chat/completions")} == {"http://h/v1/chat/completions"}
