@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -121,11 +121,20 @@ def alike(a: str, b: str) -> bool:
     return jaro_winkler(a, b) >= least
 
 
+def _by_code(names: Iterable[str]) -> dict[str, list[str]]:
+    found: dict[str, list[str]] = {}
+    for name in names:
+        for code in codes(name):
+            found.setdefault(code, []).append(name)
+    return found
+
+
 class Names:
     """Reads names, knowing the given names in use."""
 
     def __init__(self, given: frozenset[str]):
         self.given = given | frozenset(NICKNAMES)
+        self.near_given, self.near_short = _by_code(self.given), _by_code(short for short in _FORMAL if len(short) >= 4)
         self.resolve = functools.lru_cache(100_000)(self._resolve)
 
     def _resolve(self, token: str) -> tuple[str, ...]:
@@ -136,8 +145,12 @@ class Names:
             return (token,)
         if len(token) < 4:
             return ()
-        near = tuple(sorted(g for g in self.given if abs(len(g) - len(token)) <= 2 and (phonetic(g) == phonetic(token) or edits(g, token) <= 1)))
-        return near or tuple(sorted({f for short, fs in _FORMAL.items() if len(short) >= 4 and edits(short, token) <= 1 for f in fs}))
+        # names one slip away share a code, so only those are compared
+        mine = codes(token)
+        near = {g for c in mine for g in self.near_given.get(c, ()) if phonetic(g) == phonetic(token) or edits(g, token) <= 1}
+        if near:
+            return tuple(sorted(near))
+        return tuple(sorted({f for c in mine for short in self.near_short.get(c, ()) if edits(short, token) <= 1 for f in _FORMAL[short]}))
 
     def read(self, name: str | None, kind: str | None) -> list[str]:
         """The readings of a name: ``p|surname|given names or start|middle|strength``, ``o|tokens|acronym`` or ``m|name``.
@@ -340,10 +353,10 @@ def read_names(entities: DataFrame, given: frozenset[str]) -> DataFrame:
 def _keys(readings: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(r, *block) for r in batch.column(0).to_pylist() for block in blocks(r)]
+            rows = [(r, *block) for r in batch.column(0).to_pylist() for block in set(blocks(r))]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.string(), pa.bool_()))], names=["reading", "key", "looks"])
 
-    return readings.mapInArrow(run, "reading string, key string, looks boolean").select("reading", F.xxhash64("key").alias("key"), "looks").distinct()
+    return readings.mapInArrow(run, "reading string, key string, looks boolean").select("reading", F.xxhash64("key").alias("key"), "looks")
 
 
 def _related(pairs: DataFrame) -> DataFrame:
@@ -358,13 +371,11 @@ def _related(pairs: DataFrame) -> DataFrame:
 def candidate_pairs(readings: DataFrame) -> DataFrame:
     """(a, b) with a < b: readings that share a block, among them all that ``relation`` finds the same.
 
-    A block holds distinct readings only, so a name that a third of all entities bear is one row in it. Keys on which
-    nobody looks, or that one reading alone has, are left before the join; no block is cut or dropped.
+    A block holds distinct readings only, so a name that a third of all entities bear is one row in it; no block is cut
+    or dropped.
     """
     keyed = materialize(_keys(readings), "blocked")
-    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("looks").alias("any")).where("n > 1 AND any").select("key")
-    shared = keyed.join(met, "key")
-    left, right = shared.where("looks").select(F.col("reading").alias("a"), "key"), shared.select(F.col("reading").alias("b"), "key", "looks")
+    left, right = keyed.where("looks").select(F.col("reading").alias("a"), "key"), keyed.select(F.col("reading").alias("b"), "key", "looks")
     joined = left.join(right, "key").where("a < b OR (a > b AND NOT looks)")
     return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
