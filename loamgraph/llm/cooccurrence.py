@@ -18,6 +18,8 @@ KEYS = {"baskets": ["path", "chunk_index"], "pairs": ["item_a", "item_b"], "marg
 SCHEMAS = {"baskets": BASKETS, "pairs": PAIRS, "marginals": MARGINALS}
 #: Rows a bucket is made for; a table that outgrows its buckets fourfold is given new ones.
 BUCKET_ROWS = 500_000
+#: Pairs together in at least so many baskets keep a score; the many rarer ones are scored when they are asked for.
+SCORED_FROM = 5
 #: So many batches of scores may lie beside each other before they are put together.
 SCORE_BATCHES = 8
 #: Baskets with more items than this are split over several tasks.
@@ -52,15 +54,17 @@ class PairTable:
     ``apply`` takes the new content of the changed baskets only. Their old content is read back, the difference is
     emitted as signed pair and item counts, and just the buckets that receive a count are rewritten, each into the
     folder of the new version; the others stay where an older version wrote them. The number of buckets, and with it
-    of the tasks that write, follows from the rows of a table (``BUCKET_ROWS``) and grows with it. Pairs whose count,
-    or the count of an item of which, has changed are scored anew (``scores``); the others keep their score. The version is
+    of the tasks that write, follows from the rows of a table (``BUCKET_ROWS``) and grows with it. Of the pairs in
+    ``scored_from`` baskets and more, those whose count, or the count of an item of which, has changed are scored anew
+    (``scores``); the others keep their score. A table must be opened with the ``scored_from`` it was made with. The version is
     valid once its list of folders (one row a bucket) is written, so a job that dies leaves the old version standing;
     what neither the new nor the last version needs is then deleted.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None, bucket_rows: int = BUCKET_ROWS, score_batches: int = SCORE_BATCHES):
+    def __init__(self, spark: SparkSession, root: str | None = None, bucket_rows: int = BUCKET_ROWS, score_batches: int = SCORE_BATCHES, scored_from: int = SCORED_FROM):
         self.spark, self.root, self.bucket_rows, self.score_batches = spark, root or new_folder(spark, "pairs"), bucket_rows, score_batches
         done = [v for v in children(spark, self.root) if v.startswith("list-") and "_SUCCESS" in children(spark, f"{self.root}/{v}")]
+        self.scored_from = scored_from
         self.version = int(done[-1][5:]) if done else 0
         self.folders: dict[str, dict[int, int]] = {"baskets": {}, "pairs": {}, "marginals": {}}
         self.buckets, self.rows = dict.fromkeys(KEYS, 0), dict.fromkeys(KEYS, 0)
@@ -126,16 +130,22 @@ class PairTable:
         merged = tagged if not touched else tagged.unionByName(old).groupBy("bucket", *KEYS[table]).agg(F.sum("n").alias("n")).where("n <> 0")
         self._store(table, merged, touched, version)
 
+    def _scored(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (item_a, item_b, n) with the counts of their items; these are joined by hash, as their number grows with the data."""
+        of = lambda side: self.marginals().select(F.col("item").alias(f"item_{side}"), F.col("n").alias(f"n_{side}"))
+        return pairs.join(of("a"), "item_a", "left").join(of("b"), "item_b", "left").select("item_a", "item_b", "n", "n_a", "n_b")
+
     def _score(self, pairs: DataFrame, items: DataFrame, version: int) -> None:
-        """Write the scores of the pairs (item_a, item_b) changed and of all pairs of the changed ``items``."""
-        stored, counts = self.pairs(), self.marginals()
+        """Write the scores of the changed ``pairs`` and of all pairs of the changed ``items``."""
+        stored = self.pairs().where(F.col("n") >= self.scored_from)
         if self.scores:
-            one = lambda c: stored.join(items.select(F.col("item").alias(c)), c, "left_semi").select("item_a", "item_b")
-            affected = one("item_a").unionByName(one("item_b")).unionByName(pairs.select("item_a", "item_b")).distinct()
-            # a pair that is gone has a 0
-            stored = affected.join(stored, ["item_a", "item_b"], "left").select("item_a", "item_b", F.coalesce("n", F.lit(0)).alias("n"))
-        joined = stored.join(counts.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), "item_a", "left").join(counts.select(F.col("item").alias("item_b"), F.col("n").alias("n_b")), "item_b", "left")
-        joined.select("item_a", "item_b", "n", "n_a", "n_b").write.mode("overwrite").parquet(f"{self.root}/scores/v={version:06d}")
+            one = lambda c: stored.join(items.select(F.col("item").alias(c)), c, "left_semi")
+            # a pair that is gone, or too rare by now, has a 0
+            changed = pairs.select("item_a", "item_b").join(stored, ["item_a", "item_b"], "left").select("item_a", "item_b", F.coalesce("n", F.lit(0)).alias("n"))
+            known = self._scores().select("item_a", "item_b")
+            changed = changed.where("n > 0").unionByName(changed.where("n = 0").join(known, ["item_a", "item_b"], "left_semi"))
+            stored = one("item_a").unionByName(one("item_b")).unionByName(changed).distinct()
+        self._scored(stored).write.mode("overwrite").parquet(f"{self.root}/scores/v={version:06d}")
         self.scores = [*self.scores, version]
         if len(self.scores) > self.score_batches:
             self._scores().write.mode("overwrite").parquet(f"{self.root}/scores/{self._batch(-version)}")
@@ -220,9 +230,10 @@ class PairTable:
 
         lift = n * total / (n_a * n_b): how many times as often as by chance. The stored score is n / (n_a * n_b) by its
         parts, which a batch changes for the pairs it touches only; the total, which each batch changes, is one number
-        and comes in here.
+        and comes in here. With ``min_together`` under ``scored_from`` the counts are joined now.
         """
-        scored = self._scores().where(F.col("n") >= min_together)
+        scored = self._scores() if min_together >= self.scored_from else self._scored(self.pairs())
+        scored = scored.where(F.col("n") >= min_together)
         scored = scored.withColumn("total", F.lit(self.total).cast("bigint")).withColumn("lift", F.col("n") * F.col("total") / (F.col("n_a") * F.col("n_b")))
         return scored.where(F.col("n").cast("double") * F.col("total") >= F.lit(min_lift) * F.col("n_a") * F.col("n_b")).select("item_a", "item_b", "n", "n_a", "n_b", "total", "lift")
 

@@ -118,6 +118,9 @@ BASKET = "path string, chunk_index int, item string"
 
 def check(table, baskets):
     together, alone, total = pairs_of(baskets)
+    if table.version:
+        kept = {(r["item_a"], r["item_b"]): (r["n"], r["n_a"], r["n_b"]) for r in table.associations(min_together=table.scored_from).collect()}
+        assert kept == {(a, b): (n, alone[a], alone[b]) for (a, b), n in together.items() if n >= table.scored_from}
     found = {(r["item_a"], r["item_b"]): r for r in table.associations().collect()}
     assert {k: r["n"] for k, r in found.items()} == together
     assert table.total == total and {r["item"]: r["n"] for r in table.marginals().collect()} == alone
@@ -128,7 +131,7 @@ def check(table, baskets):
 def test_pair_table_takes_changes(spark):
     rnd = random.Random(9)
     baskets = {(f"p{i % 5}", i): set(rnd.sample("abcdefghij", rnd.randrange(0, 6))) for i in range(40)}
-    table = cooccurrence.PairTable(spark, bucket_rows=5, score_batches=2).apply(spark.createDataFrame(as_rows(baskets) * 2 + [(None, 1, "a"), ("p0", None, "b")], BASKET))
+    table = cooccurrence.PairTable(spark, bucket_rows=5, score_batches=2, scored_from=3).apply(spark.createDataFrame(as_rows(baskets) * 2 + [(None, 1, "a"), ("p0", None, "b")], BASKET))
     check(table, baskets)
     first = dict(table.buckets)
     for n in (7, 3, 40):
@@ -138,14 +141,14 @@ def test_pair_table_takes_changes(spark):
         table.apply(spark.createDataFrame(as_rows(changed), BASKET))
         check(table, baskets)
     assert table.buckets["pairs"] > first["pairs"]
-    again = cooccurrence.PairTable(spark, table.root, bucket_rows=5)
+    again = cooccurrence.PairTable(spark, table.root, bucket_rows=5, scored_from=3)
     assert again.version == 4 and again.buckets == table.buckets and again.rows == table.rows
     check(again, baskets)
     check(again.apply(spark.createDataFrame([(p, i, None) for p, i in baskets], BASKET)), dict.fromkeys(baskets, set()))
 
 
 def test_scores_of_untouched_pairs_are_not_computed_again(spark):
-    table = cooccurrence.PairTable(spark).apply(spark.createDataFrame(as_rows({("p", 0): {"a", "b"}, ("p", 1): {"c", "d"}, ("p", 2): {"d", "e"}}), BASKET))
+    table = cooccurrence.PairTable(spark, scored_from=1).apply(spark.createDataFrame(as_rows({("p", 0): {"a", "b"}, ("p", 1): {"c", "d"}, ("p", 2): {"d", "e"}}), BASKET))
     table.apply(spark.createDataFrame(as_rows({("p", 1): {"c", "x"}}), BASKET))
     fresh = spark.read.parquet(f"{table.root}/scores/v=000002").collect()
     assert {(r["item_a"], r["item_b"], r["n"]) for r in fresh} == {("c", "d", 0), ("c", "x", 1), ("d", "e", 1)}
