@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,11 +14,13 @@ from loamgraph.operators import asking, detail, entities, filegraph, fusion, gra
 from loamgraph.operators.lexical import LexicalIndex
 from loamgraph.plans.settings import Endpoint, Settings
 from loamgraph.plans.shared import materialize, new_folder
+from loamgraph.plans.sql_tools import register_tools
 from loamgraph.plans.store import Store
 from loamgraph.sources.embedding import Embedder, HashingEmbedder, embed, query_vector
 from loamgraph.sources.files import read_folder, read_texts
 from loamgraph.sources.points import Collection, make_points
 
+LOG = logging.getLogger("loamgraph")
 TABLES = ("nodes", "edges", "chunks", "entities", "entity_edges")
 
 
@@ -58,7 +61,7 @@ class Engine:
         self, spark: SparkSession, home: str, embedder: Embedder | None = None, caps: entities.Caps | None = None, limits: Limits | None = None, pdf_text: Callable[[bytes], str] | None = None,
         progress: Callable[[str], None] = lambda _: None, settings_folder: str | None = None, client: Callable[[Endpoint], Callable[[str], str]] | None = None,
     ):
-        self.spark, self.home, self.pdf_text, self.progress = spark, home.rstrip("/"), pdf_text, progress
+        self.spark, self.home, self.pdf_text, self._told = spark, home.rstrip("/"), pdf_text, progress
         self._caps, self._limits, self.settings_folder, self.client = caps, limits, settings_folder, client
         self.embedder = embedder or HashingEmbedder()
         self.store = Store(spark, f"{self.home}/tables")
@@ -66,6 +69,15 @@ class Engine:
         self.settings = Settings.load(settings_folder) if settings_folder else Settings()
         self.current: str | None = None
 
+    def progress(self, message: str) -> None:
+        """Tell how far an ingest is, to the log and to who asked to be told."""
+        LOG.info(message)
+        self._told(message)
+
+    def register_sql(self, prefix: str = "loam", folder: str | None = None) -> None:
+        """Make hop and blast of a folder table functions of the session."""
+        register_tools(self.spark, self.table("nodes", folder), self.table("edges", folder), prefix)
+
     def _folder(self, folder: str | None = None) -> str:
         known = self.store.folders()
         chosen = folder or self.current or (known[0] if len(known) == 1 else None)
@@ -124,6 +136,7 @@ class Engine:
         self.store.put(folder, {"chunks": chunks, "nodes-files": nodes, "edges-files": edges, "lexical": placed, **linked})
         self.points.replace_folder(points, folder)
         self.current = folder
+        LOG.info("took in %s", folder)
         return IngestReport(texts.count(), chunks.count(), skipped, stats, bool(left_out.limit(1).count()), bool(self.table("entities").limit(1).count()))
 
     def _link(self, folder: str, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, complete: Callable[[str], str] | None, caps: entities.Caps) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -294,6 +294,14 @@ def entity_betweenness(spark, sf):
     return rounded(graph.betweenness(kept.select("id"), entities.related_edges(found, kept)), "betweenness")
 
 
+@query
+def entity_betweenness_top200(spark, sf):
+    # as an engine with its usual bounds has it
+    found = _found(spark, sf)
+    kept = entities.ranked(found)
+    return rounded(graph.betweenness(kept.select("id"), entities.related_edges(found, kept)), "betweenness")
+
+
 @query
 def conflicts_with(spark, sf):
     rows = load(spark, sf, "embeddings").select(F.concat(F.lit("vec:"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("vector"), ((F.col("vec_id") * 7919) % 1000).alias("mentions"))

@@ -198,8 +198,8 @@ SQL: dict[str, str] = {
     + """SELECT (SELECT count(*) FROM kept) AS entities, (SELECT count(*) FROM kept) AS visible, CAST(0 AS BIGINT) AS withheld, (SELECT count(*) FROM (SELECT src FROM mention_edges GROUP BY src HAVING count(*) > 1)) AS cross_file,
       (SELECT count(*) FROM (SELECT id FROM surfaces GROUP BY id HAVING count(*) > 1)) AS merges, (SELECT count(*) FROM raw) AS candidates, (SELECT count(*) FROM mention_edges) AS mentions, (SELECT count(*) FROM related) AS relates_to, CAST(0 AS BIGINT) AS conflicts""",
     "entity_degree": _within(EDGES) + "SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges WHERE (rel <> 'mentions' OR rel IS NULL) AND src IS NOT NULL AND dst IS NOT NULL UNION ALL SELECT dst FROM edges WHERE (rel <> 'mentions' OR rel IS NULL) AND src IS NOT NULL AND dst IS NOT NULL AND src <> dst) GROUP BY id",
-    "entity_betweenness": _within(
-        *LINKED,
+    "entity_betweenness_top200": _within(
+        *(KEPT if step is ALL_KEPT else step for step in LINKED),
         RELATED,
         "near AS (SELECT src AS a, dst AS b FROM related UNION SELECT dst, src FROM related)",
         "walk(s, t, d) AS (SELECT id, id, 0 FROM kept UNION SELECT s, b, d + 1 FROM walk JOIN near ON t = a WHERE d < 6)",

@@ -234,6 +234,19 @@ def test_tools(spark):
     assert {asking.completions_url(u) for u in ("http://h", "http://h/v1/", "http://h/v1/chat/completions")} == {"http://h/v1/chat/completions"}
 
 
+def test_tools_in_sql(spark):
+    from loamgraph.operators import graph
+    from loamgraph.plans.sql_tools import register_tools
+
+    nodes = spark.createDataFrame([("a", "A"), ("b", "B"), ("b", None), ("c", None)], "id string, label string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("a", "a"), ("b", "a"), (None, "a")], "src string, dst string")
+    register_tools(spark, nodes, edges, "t")
+    assert {tuple(r) for r in spark.sql("SELECT * FROM t_hop('a')").collect()} == {("a", "A"), ("b", "B")}
+    for depth in (1, 2, 3):
+        want = {(r["id"], r["distance"]) for r in graph.blast(edges, "a", depth).collect()}
+        assert {(r["id"], r["distance"]) for r in spark.sql(f"SELECT * FROM t_blast('a', {depth})").collect()} == want
+
+
 def test_settings(tmp_path):
     s = Settings(welcome_seen=True, endpoint=Endpoint("http://x", "k", "m"))
     s.save(str(tmp_path / "d"))
