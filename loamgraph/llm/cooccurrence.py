@@ -117,6 +117,12 @@ class PairTable:
         there = self._write(rows, f"{self.root}/{table}/v={version:06d}", self.buckets[table])
         self.folders[table] = {b: v for b, v in self.folders[table].items() if b not in touched} | dict.fromkeys(there, version)
 
+    def _fill(self, table: str, counts: DataFrame, like: int, version: int) -> None:
+        """Write the counts of a first batch, into buckets for ``like`` rows; a later batch makes others if these are too few."""
+        self._make_room(table, like)
+        self._store(table, self._bucket(table, counts.select(*KEYS[table], "n")), set(), version)
+        self.rows[table] = self._read(table).count()
+
     def _merge(self, table: str, delta: DataFrame, version: int) -> None:
         """Add signed counts (key, n) to the buckets they fall into."""
         old, left = self._read(table), self._make_room(table, delta.count())
@@ -190,13 +196,18 @@ class PairTable:
             was = old.join(named, keys, "left_semi").select("path", "chunk_index", "item", F.lit(-1).alias("sign"))
             kept = old.join(named, keys, "left_anti")
             rows = rows.unionByName(was)
-        delta = f"{self.root}/delta/v={version:06d}"
-        pairs = materialize(signed_pairs(rows), "pairs", f"{delta}/pairs")
-        items = materialize(rows.groupBy("item").agg(F.sum("sign").cast("bigint").alias("n")).where("n <> 0"), "items", f"{delta}/items")
+        pairs, items = signed_pairs(rows), rows.groupBy("item").agg(F.sum("sign").cast("bigint").alias("n")).where("n <> 0")
         self.total += rows.select("path", "chunk_index", "sign").distinct().agg(F.coalesce(F.sum("sign"), F.lit(0))).first()[0]
-        self._store("baskets", new if kept is None else kept.select(new.columns).unionByName(new), touched, version)
-        self._merge("pairs", pairs, version)
-        self._merge("marginals", items, version)
+        if kept is None:
+            self._store("baskets", new, touched, version)
+            self._fill("pairs", pairs, size, version)
+            self._fill("marginals", items, size, version)
+        else:
+            delta = f"{self.root}/delta/v={version:06d}"
+            pairs, items = materialize(pairs, "pairs", f"{delta}/pairs"), materialize(items, "items", f"{delta}/items")
+            self._store("baskets", kept.select(new.columns).unionByName(new), touched, version)
+            self._merge("pairs", pairs, version)
+            self._merge("marginals", items, version)
         self._score(pairs, items, version)
         listed = [(t, b, v, None) for t, which in self.folders.items() for b, v in which.items()]
         listed += [("total", None, None, int(self.total)), *(("scores", None, v, None) for v in self.scores), *((t, None, self.buckets[t], self.rows[t]) for t in KEYS)]

@@ -135,7 +135,7 @@ def test_pair_table_takes_changes(spark):
     check(table, baskets)
     first = dict(table.buckets)
     for n in (7, 3, 40):
-        more = {(f"q{i}", i): set(rnd.sample("abcdefghijklmnopq", 6)) for i in range(n)}
+        more = {(f"q{i}", i): set(rnd.sample([f"i{k:02d}" for k in range(40)], 6)) for i in range(n)}
         changed = {k: set(rnd.sample("abcdefghijkl", rnd.randrange(0, 6))) for k in rnd.sample(sorted(baskets), 7)} | more
         baskets |= changed
         table.apply(spark.createDataFrame(as_rows(changed), BASKET))
