@@ -178,7 +178,8 @@ class Engine:
             points = self.points.read().withColumn("rel_path", whole("rel_path"))
             ents = tables["entities"].withColumns({"id": whole("id"), "files": F.transform("files", lambda x: F.concat(F.col("folder"), F.lit("/"), x))})
             edges = tables["entity_edges"].withColumns({"src": whole("src"), "dst": whole("dst")})
-            return fusion.retrieve(chunks, points, ents, edges, query, vector, limit, dims=dims)
+            index = LexicalIndex.of(self.spark, {f: self.store.read("lexical", f).first()[0] for f in known})
+            return fusion.retrieve(chunks, points, ents, edges, query, vector, limit, index=index, dims=dims)
         folder = self._folder(folder)
         index = LexicalIndex(self.spark, self.store.read("lexical", folder).first()[0])
         points = self.points.read().where(F.col("folder") == folder)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +41,14 @@ class LexicalIndex:
     terms by the files' statistics; previews lie in order of the path. A query never reads the corpus.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, *, parts: Mapping[str, str] | None = None):
         self.spark, self.path = spark, path.rstrip("/")
+        self.parts = dict(parts) if parts is not None else {"": self.path}
+
+    @classmethod
+    def of(cls, spark: SparkSession, parts: Mapping[str, str]) -> LexicalIndex:
+        """Several indexes as one corpus, whose paths begin with the name of their part."""
+        return cls(spark, "", parts=parts)
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str) -> LexicalIndex:
@@ -53,7 +61,8 @@ class LexicalIndex:
         return index
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        one = lambda part, path: self.spark.read.parquet(f"{path}/{name}").withColumn("path", F.concat(F.lit(f"{part}/"), "path") if part else F.col("path"))
+        return functools.reduce(DataFrame.unionByName, (one(part, path) for part, path in sorted(self.parts.items())))
 
     def postings(self) -> DataFrame:
         return self._read("postings")

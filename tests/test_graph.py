@@ -228,3 +228,27 @@ def test_places(spark):
     assert {(r["b"], r["c"]) for r in layout.membranes(edges).where("id = 'a'").collect()} == {("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "g"), ("g", "b")}
     assert layout.linlog(spark.createDataFrame([("a",), ("b",)], "id string"), edges).count() == 2
     assert abs(spark.range(1).select(layout.tube_radius(F.lit("x"), F.lit(1))).first()[0] - (0.12 + math.log(2) * 0.16)) < 1e-12
+
+
+def test_pairs_of_groups_of_any_size(spark):
+    from loamgraph.operators.pairs import pair_counts
+
+    groups = {1: {f"i{n:03d}" for n in range(90)}, 2: {"i001", "i002", "x"}, 3: {"x"}, 4: set()}
+    rows = spark.createDataFrame([(g, i) for g, items in groups.items() for i in items], "g int, item string")
+    want = Counter(p for items in groups.values() for p in combinations(sorted(items), 2))
+    for split_at in (64, 20, 2):
+        assert {(r["a"], r["b"]): r["n"] for r in pair_counts(rows, ["g"], "item", split_at).collect()} == want
+    assert pair_counts(rows.limit(0), ["g"], "item").count() == 0
+
+
+def test_indexes_of_several_parts_are_one_corpus(spark, tmp_path):
+    rows = [("a", i, f"alpha beta {'gamma ' * (i % 3)}word{i}") for i in range(9)]
+    both = spark.createDataFrame([(f"p/{p}", i, t) for p, i, t in rows] + [(f"q/{p}", i + 20, t + " alpha") for p, i, t in rows], "path string, chunk_index int, content string")
+    whole = lexical.LexicalIndex.build(both, str(tmp_path / "whole"))
+    for part in "pq":
+        ours = both.where(F.col("path").startswith(part)).withColumn("path", F.substring("path", 3, 99))
+        lexical.LexicalIndex.build(ours, str(tmp_path / part))
+    parts = lexical.LexicalIndex.of(spark, {part: str(tmp_path / part) for part in "pq"})
+    for query in ("alpha gamma", "word3 word25", "nothing here", ""):
+        for limit in (5, None):
+            assert [tuple(r) for r in parts.search(query, limit).collect()] == [tuple(r) for r in whole.search(query, limit).collect()]
