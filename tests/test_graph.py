@@ -200,6 +200,28 @@ def test_betweenness_both_ways(spark):
     assert [r["betweenness"] for r in graph.betweenness(nodes.limit(2), frame).collect()] == [0.0, 0.0]
 
 
+def test_betweenness_of_many_edges_in_one_piece(spark, monkeypatch):
+    monkeypatch.setattr(graph, "betweenness_by_joins", None)
+    clique = spark.range(1100).select(F.format_string("n%04d", "id").alias("src"))
+    pairs = clique.join(clique.withColumnRenamed("src", "dst")).where("src < dst").select("src", "dst", F.lit("x").alias("rel"), F.lit(1).alias("weight"))
+    frame = pairs.unionByName(spark.createDataFrame([("n0000", "tail", "x", 1), ("end", "tail", "x", 1)], EDGE))
+    nodes = clique.withColumnRenamed("src", "id").unionByName(spark.createDataFrame([("tail",), ("end",), ("alone",)], "id string"))
+    found = {r["id"]: r["betweenness"] * 1102 * 1101 for r in graph.betweenness(nodes, frame).collect()}
+    assert len(found) == 1103 and abs(found["n0000"] - 2 * 2 * 1099) < 1e-6 and abs(found["tail"] - 2 * 1100) < 1e-6
+    assert {v for k, v in found.items() if k not in ("n0000", "tail")} == {0.0}
+
+
+def test_betweenness_of_twins_and_of_pieces(spark):
+    edges = [(f"a{i}", f"a{j}", "x", 1) for i in range(4) for j in range(i)] + [(f"a{i}", f"b{j}", "x", 1) for i in (0, 1) for j in range(3)]
+    edges += [("b0", "c", "x", 1), ("b1", "c", "x", 1), ("c", "d", "x", 1), ("p", "q", "x", 1), ("q", "r", "x", 1), ("s", "t", "x", 1)]
+    ids = sorted({x for e in edges for x in e[:2]} | {"alone"})
+    want = centrality(ids, edges)
+    nodes, frame = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(edges, EDGE)
+    for bound in (1000, 0):
+        found = {r["id"]: r["betweenness"] for r in graph.betweenness(nodes, frame, broadcast_edges=bound).collect()}
+        assert set(found) == set(want) and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_cards(spark):
     chunks = spark.createDataFrame([("a.md", i, "c" * 300) for i in range(8)], "path string, chunk_index int, content string")
     assert detail.node_passages(chunks, "a.md").count() == 6 and detail.node_passages(chunks, "a.md#3").first()["chunk_index"] == 3
