@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamgraph.operators.ranking import with_position
+from loamgraph.plans.shared import materialize
 
 # Colours of nodes' kinds and edges' relations.
 EDGE_COLOURS = {"sibling": "#d4a84b", "contains": "#22d3ee", "next": "#67e8f9", "relates_to": "#a78bfa", "mentions": "#f472b6", "same_as": "#f8fafc", "conflicts_with": "#fbbf24"}
 OTHER_COLOUR = "#8a938c"
 # Fixed values of the forces: repulsion, spring, length, length a spread, damping, most speed, radius of the ball.
 REPULSION, SPRING, LENGTH, LENGTH_SPREAD, DAMPING, MOST_SPEED, BALL = 420, 0.035, 26, 7, 0.82, 22, 480
-#: Pairs of nodes whose forces are held at a time (about 200 MB).
-PAIRS_AT_A_TIME = 4_000_000
+#: Rows and columns of a tile of pairs of nodes whose forces are summed at a time (half a MB an array).
+TILE = 256
+#: Up to this many nodes one task does all rounds.
+ONE_TASK = 8_192
 GOLDEN = math.pi * (1 + math.sqrt(5))
 
 
@@ -63,31 +68,57 @@ def place_chunks(chunks: DataFrame, files: DataFrame, spread: float = 1.0) -> Da
     return rows.join(hubs, "path").select(F.concat_ws("#", "path", "chunk_index").alias("id"), (F.col("_x") + x).alias("x"), (F.col("_y") + y).alias("y"), (F.col("_z") + z).alias("z"))
 
 
-def relax(start: pd.DataFrame, springs: np.ndarray, spread: float = 1.0) -> np.ndarray:
-    """Positions after pushing all nodes apart and pulling linked ones together for a while.
-
-    Repulsion falls with the square of the distance and grows with the logarithm of both degrees; springs have a rest
-    length; everything cools, is damped, and stays in a ball."""
-    k = min(15.0, max(1.0, spread))
-    at, speed = start[["x", "y", "z"]].to_numpy(float).copy(), np.zeros((len(start), 3))
-    weight = np.log2(start["degree"].to_numpy(float) + 1)
-    step = max(1, PAIRS_AT_A_TIME // max(1, len(start)))
-    rounds = min(48, 16 + math.ceil(len(start) / 8))
-    for r in range(rounds if len(start) > 1 else 0):
-        cool = 1 - r / rounds
-        for i in range(0, len(at), step):
-            part = slice(i, i + step)
-            away = at[part, None, :] - at[None, :, :]
-            square = (away**2).sum(axis=2) + 1
-            push = REPULSION * cool / square * (1 + (weight[part, None] + weight[None, :]) * k)
-            # a node does not push itself, being no way off
-            speed[part] += (away * (push / np.sqrt(square))[:, :, None]).sum(axis=1)
-        if len(springs):
-            along = at[springs[:, 1]] - at[springs[:, 0]]
-            length = np.linalg.norm(along, axis=1) + 0.1
-            pull = along / length[:, None] * (SPRING * (length - (LENGTH + k * LENGTH_SPREAD)) * cool)[:, None]
-            np.add.at(speed, springs[:, 0], pull)
-            np.add.at(speed, springs[:, 1], -pull)
+def pushes(a: np.ndarray, weight_a: np.ndarray, b: np.ndarray, weight_b: np.ndarray, k: float, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The repulsion between each node of a and each of b, summed for the nodes of a and for those of b.
+
+    Each pair is met once. Its strength is a sum of products of what each node has, so a tile of pairs gives both sums by
+    matrix products. ``same``: a and b are the same nodes; the first sums are all, and a node does not push itself."""
+    of = lambda at, weight: np.column_stack([np.ones(len(at)), weight, at, at * weight[:, None]])
+    held_a, held_b, square_a, square_b = of(a, weight_a), of(b, weight_b), (a**2).sum(axis=1), (b**2).sum(axis=1)
+    left, right = np.column_stack([a, square_a, np.ones(len(a))]), np.column_stack([-2 * b, np.ones(len(b)), square_b + 1]).T.copy()
+    sums_a, sums_b = np.zeros((len(a), 8)), np.zeros((len(b), 8))
+    for i in range(0, len(a), TILE):
+        for j in range(i if same else 0, len(b), TILE):
+            square = left[i : i + TILE] @ right[:, j : j + TILE]
+            near = np.sqrt(square)
+            near *= square
+            np.divide(1.0, near, out=near)
+            if same and i == j:
+                np.fill_diagonal(near, 0.0)
+            sums_a[i : i + TILE] += near @ held_b[j : j + TILE]
+            if not same:
+                sums_b[j : j + TILE] += near.T @ held_a[i : i + TILE]
+            elif i != j:
+                sums_a[j : j + TILE] += near.T @ held_a[i : i + TILE]
+
+    def force(at: np.ndarray, weight: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        own = 1 + k * weight
+        return REPULSION * (at * (own * sums[:, 0] + k * sums[:, 1])[:, None] - own[:, None] * sums[:, 2:5] - k * sums[:, 5:8])
+
+    return force(a, weight_a, sums_a), force(b, weight_b, sums_b)
+
+
+def pulls(a: np.ndarray, b: np.ndarray, springs: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray]:
+    """What the springs (row of a, row of b) do to the nodes of a and to those of b."""
+    along = b[springs[:, 1]] - a[springs[:, 0]]
+    length = np.linalg.norm(along, axis=1) + 0.1
+    pull = along / length[:, None] * (SPRING * (length - (LENGTH + k * LENGTH_SPREAD)))[:, None]
+    of = lambda ends, n: np.column_stack([np.bincount(ends, pull[:, x], n) for x in range(3)])
+    return of(springs[:, 0], len(a)), -of(springs[:, 1], len(b))
+
+
+def forces(a: np.ndarray, weight_a: np.ndarray, b: np.ndarray, weight_b: np.ndarray, springs: np.ndarray, k: float, same: bool = False) -> list[np.ndarray]:
+    """All forces between the nodes of a and those of b, on the first and on the second; with ``same`` on the first only."""
+    push, pull = pushes(a, weight_a, b, weight_b, k, same), pulls(a, b, springs, k)
+    return [push[0] + pull[0] + pull[1]] if same else [push[0] + pull[0], push[1] + pull[1]]
+
+
+def cooled(at: np.ndarray, force_at: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Positions after some rounds of these forces; everything cools, is damped, and stays in a ball."""
+    at, speed = at.copy(), np.zeros((len(at), 3))
+    rounds = min(48, 16 + math.ceil(len(at) / 8))
+    for r in range(rounds if len(at) > 1 else 0):
+        speed += (1 - r / rounds) * force_at(at)
         speed *= DAMPING
         speed *= np.minimum(1, MOST_SPEED / np.maximum(np.linalg.norm(speed, axis=1), 1e-12))[:, None]
         at += speed
@@ -95,13 +126,81 @@ def relax(start: pd.DataFrame, springs: np.ndarray, spread: float = 1.0) -> np.n
     return at
 
 
-def linlog(nodes: DataFrame, edges: DataFrame, spread: float = 1.0) -> DataFrame:
+def relax(start: pd.DataFrame, springs: np.ndarray, spread: float = 1.0) -> np.ndarray:
+    """Positions after pushing all nodes apart and pulling linked ones together for a while.
+
+    Repulsion falls with the square of the distance and grows with the logarithm of both degrees; springs have a rest
+    length."""
+    k = min(15.0, max(1.0, spread))
+    weight = np.log2(start["degree"].to_numpy(float) + 1)
+    return cooled(start[["x", "y", "z"]].to_numpy(float), lambda at: forces(at, weight, at, weight, springs, k, True)[0])
+
+
+def relax_in_tasks(spark: SparkSession, start: pd.DataFrame, springs: np.ndarray, spread: float = 1.0) -> np.ndarray:
+    """The same, with the forces between two blocks of nodes summed by one task.
+
+    A round sends all positions to the tasks (24 bytes a node) and gets the forces back, one sum a node and block.
+    ``springs`` are pairs (lower row, higher row)."""
+    k, n = min(15.0, max(1.0, spread)), len(start)
+    blocks = max(8, math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism)))
+    size = math.ceil(n / blocks)
+    whole = sorted(((i, j) for i in range(blocks) for j in range(i, blocks)), key=lambda x: x[0] == x[1])
+    tasks = min(len(whole), spark.sparkContext.defaultParallelism)
+    pairs = [pair for t in range(tasks) for pair in whole[t::tasks]]  # pairs of a block with itself, half the work, are dealt evenly
+    number = np.zeros((blocks, blocks), int)
+    for u, pair in enumerate(pairs):
+        number[pair] = u
+    at_pair = number[springs[:, 0] // size, springs[:, 1] // size]
+    order = np.argsort(at_pair, kind="stable")
+    begin = np.searchsorted(at_pair[order], np.arange(len(pairs) + 1))
+    held = spark.sparkContext.broadcast((np.log2(start["degree"].to_numpy(float) + 1), springs[order], begin))
+
+    def force_at(at: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(at)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (weight, links, begin), now = held.value, sent.value
+            for batch in batches:
+                for u in batch.column(0).to_pylist():
+                    i, j = pairs[u]
+                    a, b = slice(i * size, (i + 1) * size), slice(j * size, (j + 1) * size)
+                    found = forces(now[a], weight[a], now[b], weight[b], links[begin[u] : begin[u + 1]] - [i * size, j * size], k, i == j)
+                    yield pa.RecordBatch.from_pydict({"pair": pa.array([u] * len(found), pa.int64()), "block": pa.array([i, j][: len(found)], pa.int64()), "force": [x.tobytes() for x in found]})
+
+        summed = np.zeros((n, 3))
+        for row in sorted(spark.range(0, len(pairs), 1, tasks).mapInArrow(run, "pair long, block long, force binary").toArrow().to_pylist(), key=lambda x: (x["pair"], x["block"])):
+            summed[row["block"] * size : (row["block"] + 1) * size] += np.frombuffer(row["force"]).reshape(-1, 3)
+        sent.destroy()
+        return summed
+
+    return cooled(start[["x", "y", "z"]].to_numpy(float), force_at)
+
+
+def linlog(nodes: DataFrame, edges: DataFrame, spread: float = 1.0, *, one_task: int = ONE_TASK) -> DataFrame:
     """(id, x, y, z) of entity nodes after the forces.
 
-    All nodes push each other, so one graph is one group; its memory grows with the nodes, as forces are summed in
-    blocks, and its time with their square. It is meant for graphs that are looked at."""
+    All nodes push each other, so its time grows with their square. Up to ``one_task`` nodes are one group; beyond, the
+    positions and the springs (8 bytes each) are held by the driver and a round's forces are summed by tasks."""
+    spark = nodes.sparkSession
+    nodes, edges = materialize(nodes.select("id"), "nodes"), materialize(edges.select("src", "dst"), "edges")
     placed = place_entities(nodes, edges, spread)
     inner = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    if nodes.count() > one_task:
+        rows = materialize(with_position(placed, ["id"]).select("position", "id", "degree", "x", "y", "z"), "placed")
+        last = rows.groupBy("id").agg(F.max("position").cast("int").alias("position"))
+        of = lambda end: last.select(F.col("id").alias(end), F.col("position").alias(f"at_{end}"))
+        links = inner.join(of("src"), "src").join(of("dst"), "dst").select(F.least("at_src", "at_dst"), F.greatest("at_src", "at_dst")).toArrow()
+        springs = np.column_stack([links.column(x).to_numpy() for x in (0, 1)])
+        springs = springs[np.lexsort((springs[:, 1], springs[:, 0]))]
+        start = rows.drop("id").toArrow().sort_by("position").to_pandas()
+        moved = spark.sparkContext.broadcast(relax_in_tasks(spark, start, springs, spread))
+
+        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = moved.value[batch.column(1).to_numpy()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(at[:, x])) for x in range(3))], names=["id", "x", "y", "z"])
+
+        return rows.select("id", "position").mapInArrow(put, "id string, x double, y double, z double")
 
     def run(_: tuple, points: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         points = points.sort_values("id").reset_index(drop=True)

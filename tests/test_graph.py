@@ -252,6 +252,42 @@ def test_places(spark):
     assert abs(spark.range(1).select(layout.tube_radius(F.lit("x"), F.lit(1))).first()[0] - (0.12 + math.log(2) * 0.16)) < 1e-12
 
 
+def relaxed(start, springs, k=1.0):
+    at, speed, weight = start[["x", "y", "z"]].to_numpy(), np.zeros((len(start), 3)), np.log2(start["degree"].to_numpy() + 1)
+    rounds = min(48, 16 + math.ceil(len(start) / 8))
+    for r in range(rounds):
+        cool = 1 - r / rounds
+        away = at[:, None] - at[None]
+        square = (away**2).sum(axis=2) + 1
+        speed += (away * (420 * cool / square**1.5 * (1 + (weight[:, None] + weight[None]) * k))[:, :, None]).sum(axis=1)
+        for a, b in springs:
+            along = at[b] - at[a]
+            length = np.linalg.norm(along) + 0.1
+            pull = along / length * 0.035 * (length - (26 + k * 7)) * cool
+            speed[a] += pull
+            speed[b] -= pull
+        speed *= 0.82
+        speed *= np.minimum(1, 22 / np.maximum(np.linalg.norm(speed, axis=1), 1e-12))[:, None]
+        at = at + speed
+        at = at * np.minimum(1, 480 / np.maximum(np.linalg.norm(at, axis=1), 1e-12))[:, None]
+    return at
+
+
+def test_forces_in_one_task_and_in_many(spark):
+    rng = random.Random(5)
+    ids = [f"n{i:03d}" for i in range(300)]
+    edges = [(*rng.sample(ids, 2), "x", 1) for _ in range(500)]
+    edges += [*edges[:9], ("n001", "n001", "x", 1), ("n002", "unknown", "x", 1)]
+    nodes, frame = spark.createDataFrame([(x,) for x in ids], "id string").repartition(3), spark.createDataFrame(edges, EDGE)
+    start = layout.place_entities(nodes, frame, 2.0).toPandas().sort_values("id", ignore_index=True)
+    want = relaxed(start, [(ids.index(a), ids.index(b)) for a, b, *_ in edges if b != "unknown"], 2.0)
+    for most in (1000, 0):
+        found = layout.linlog(nodes, frame, 2.0, one_task=most).toPandas().sort_values("id", ignore_index=True)
+        assert list(found["id"]) == ids and np.abs(found[["x", "y", "z"]].to_numpy() - want).max() < 1e-5
+    few = layout.linlog(nodes.where("id < 'n003'"), frame, one_task=0)
+    assert few.count() == 3 and layout.linlog(nodes.limit(0), frame, one_task=0).count() == 0
+
+
 def test_pairs_of_groups_of_any_size(spark):
     from loamgraph.operators.pairs import pair_counts
 
