@@ -222,6 +222,28 @@ def test_betweenness_of_twins_and_of_pieces(spark):
         assert set(found) == set(want) and all(abs(found[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_betweenness_by_joins_writes_a_turn_at_a_time(spark, monkeypatch):
+    ids, edges = made(11, 24, 60)
+    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
+    pairs = spark.createDataFrame(sorted({tuple(sorted(e[:2])) for e in edges if e[0] != e[1]}), "a string, b string")
+    written, keep = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label, *a: (written.append((label, (kept := keep(df, label, *a)).count())), kept)[1])
+    want = centrality(ids, edges)
+    found = {r["id"]: r["betweenness"] for r in graph.betweenness_by_joins(nodes, pairs, joined_rows=200).collect()}
+    assert set(found) == set(want) and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    assert max(n for _, n in written) <= 200
+
+
+def test_betweenness_in_pieces(spark, monkeypatch):
+    ids, edges = made(13, 300, 900)
+    nodes, frame = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(edges, EDGE)
+    monkeypatch.setattr(graph, "PIECE", 50)
+    monkeypatch.setattr(graph, "WIDE_EDGES", 0)
+    want = centrality(ids, edges)
+    found = {r["id"]: r["betweenness"] for r in graph.betweenness(nodes, frame).collect()}
+    assert set(found) == set(want) and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_cards(spark):
     chunks = spark.createDataFrame([("a.md", i, "c" * 300) for i in range(8)], "path string, chunk_index int, content string")
     assert detail.node_passages(chunks, "a.md").count() == 6 and detail.node_passages(chunks, "a.md#3").first()["chunk_index"] == 3
