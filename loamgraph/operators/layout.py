@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loamgraph.operators import repulsion
+from loamgraph.operators.graph import neighbour_lists, pieces
 from loamgraph.operators.ranking import with_position
 from loamgraph.plans.shared import materialize
 
@@ -23,6 +25,8 @@ REPULSION, SPRING, LENGTH, LENGTH_SPREAD, DAMPING, MOST_SPEED, BALL = 420, 0.035
 TILE = 256
 #: Up to this many nodes one task does all rounds.
 ONE_TASK = 8_192
+#: Springs whose pull a task works out at a time.
+SPRINGS_AT_ONCE = 1 << 18
 GOLDEN = math.pi * (1 + math.sqrt(5))
 
 
@@ -68,49 +72,35 @@ def place_chunks(chunks: DataFrame, files: DataFrame, spread: float = 1.0) -> Da
     return rows.join(hubs, "path").select(F.concat_ws("#", "path", "chunk_index").alias("id"), (F.col("_x") + x).alias("x"), (F.col("_y") + y).alias("y"), (F.col("_z") + z).alias("z"))
 
 
-def pushes(a: np.ndarray, weight_a: np.ndarray, b: np.ndarray, weight_b: np.ndarray, k: float, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The repulsion between each node of a and each of b, summed for the nodes of a and for those of b.
+def pushes(at: np.ndarray, weight: np.ndarray, k: float) -> np.ndarray:
+    """The repulsion between all nodes, summed for each.
 
     Each pair is met once. Its strength is a sum of products of what each node has, so a tile of pairs gives both sums by
-    matrix products. ``same``: a and b are the same nodes; the first sums are all, and a node does not push itself."""
-    of = lambda at, weight: np.column_stack([np.ones(len(at)), weight, at, at * weight[:, None]])
-    held_a, held_b, square_a, square_b = of(a, weight_a), of(b, weight_b), (a**2).sum(axis=1), (b**2).sum(axis=1)
-    left, right = np.column_stack([a, square_a, np.ones(len(a))]), np.column_stack([-2 * b, np.ones(len(b)), square_b + 1]).T.copy()
-    sums_a, sums_b = np.zeros((len(a), 8)), np.zeros((len(b), 8))
-    for i in range(0, len(a), TILE):
-        for j in range(i if same else 0, len(b), TILE):
-            square = left[i : i + TILE] @ right[:, j : j + TILE]
-            near = np.sqrt(square)
-            near *= square
+    matrix products."""
+    held, square = np.column_stack([np.ones(len(at)), weight, at, at * weight[:, None]]), (at**2).sum(axis=1)
+    left, right = np.column_stack([at, square, np.ones(len(at))]), np.column_stack([-2 * at, np.ones(len(at)), square + 1]).T.copy()
+    sums = np.zeros((len(at), 8))
+    for i in range(0, len(at), TILE):
+        for j in range(i, len(at), TILE):
+            near = left[i : i + TILE] @ right[:, j : j + TILE]
+            near *= np.sqrt(near)
             np.divide(1.0, near, out=near)
-            if same and i == j:
+            if i == j:
                 np.fill_diagonal(near, 0.0)
-            sums_a[i : i + TILE] += near @ held_b[j : j + TILE]
-            if not same:
-                sums_b[j : j + TILE] += near.T @ held_a[i : i + TILE]
-            elif i != j:
-                sums_a[j : j + TILE] += near.T @ held_a[i : i + TILE]
+            sums[i : i + TILE] += near @ held[j : j + TILE]
+            if i != j:
+                sums[j : j + TILE] += near.T @ held[i : i + TILE]
+    own = 1 + k * weight
+    return REPULSION * (at * (own * sums[:, 0] + k * sums[:, 1])[:, None] - own[:, None] * sums[:, 2:5] - k * sums[:, 5:8])
 
-    def force(at: np.ndarray, weight: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        own = 1 + k * weight
-        return REPULSION * (at * (own * sums[:, 0] + k * sums[:, 1])[:, None] - own[:, None] * sums[:, 2:5] - k * sums[:, 5:8])
 
-    return force(a, weight_a, sums_a), force(b, weight_b, sums_b)
-
-
-def pulls(a: np.ndarray, b: np.ndarray, springs: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray]:
-    """What the springs (row of a, row of b) do to the nodes of a and to those of b."""
-    along = b[springs[:, 1]] - a[springs[:, 0]]
+def pulls(at: np.ndarray, springs: np.ndarray, k: float) -> np.ndarray:
+    """What the springs (row, row) do to the nodes."""
+    along = at[springs[:, 1]] - at[springs[:, 0]]
     length = np.linalg.norm(along, axis=1) + 0.1
     pull = along / length[:, None] * (SPRING * (length - (LENGTH + k * LENGTH_SPREAD)))[:, None]
-    of = lambda ends, n: np.column_stack([np.bincount(ends, pull[:, x], n) for x in range(3)])
-    return of(springs[:, 0], len(a)), -of(springs[:, 1], len(b))
-
-
-def forces(a: np.ndarray, weight_a: np.ndarray, b: np.ndarray, weight_b: np.ndarray, springs: np.ndarray, k: float, same: bool = False) -> list[np.ndarray]:
-    """All forces between the nodes of a and those of b, on the first and on the second; with ``same`` on the first only."""
-    push, pull = pushes(a, weight_a, b, weight_b, k, same), pulls(a, b, springs, k)
-    return [push[0] + pull[0] + pull[1]] if same else [push[0] + pull[0], push[1] + pull[1]]
+    of = lambda ends: np.column_stack([np.bincount(ends, pull[:, x], len(at)) for x in range(3)])
+    return of(springs[:, 0]) - of(springs[:, 1])
 
 
 def cooled(at: np.ndarray, force_at: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -133,43 +123,49 @@ def relax(start: pd.DataFrame, springs: np.ndarray, spread: float = 1.0) -> np.n
     length."""
     k = min(15.0, max(1.0, spread))
     weight = np.log2(start["degree"].to_numpy(float) + 1)
-    return cooled(start[["x", "y", "z"]].to_numpy(float), lambda at: forces(at, weight, at, weight, springs, k, True)[0])
+    return cooled(start[["x", "y", "z"]].to_numpy(float), lambda at: pushes(at, weight, k) + pulls(at, springs, k))
+
+
+def drawn(at: np.ndarray, heads: np.ndarray, begin: np.ndarray, k: float, low: int, high: int) -> np.ndarray:
+    """What the springs do to the nodes low to high; those of node v go to heads[begin[v] : begin[v + 1]]."""
+    found = np.zeros((high - low, 3))
+    for first, last in pieces(begin[low : high + 1], SPRINGS_AT_ONCE):
+        tails = np.repeat(np.arange(first, last), np.diff(begin[low + first : low + last + 1]))
+        along = at[heads[begin[low + first] : begin[low + last]]] - at[low + tails]
+        length = np.linalg.norm(along, axis=1) + 0.1
+        along *= (SPRING * (length - (LENGTH + k * LENGTH_SPREAD)) / length)[:, None]
+        for x in range(3):
+            found[first:last, x] = np.bincount(tails - first, along[:, x], last - first)
+    return found
 
 
-def relax_in_tasks(spark: SparkSession, start: pd.DataFrame, springs: np.ndarray, spread: float = 1.0) -> np.ndarray:
-    """The same, with the forces between two blocks of nodes summed by one task.
+def relax_in_tasks(spark: SparkSession, start: pd.DataFrame, heads: np.ndarray, begin: np.ndarray, spread: float = 1.0) -> np.ndarray:
+    """The same, with the forces on the nodes of a part of space, and of the springs of a part of the nodes, summed by one task.
 
-    A round sends all positions to the tasks (24 bytes a node) and gets the forces back, one sum a node and block.
-    ``springs`` are pairs (lower row, higher row)."""
+    Nodes push each other by a tree of cells (``repulsion``). A round sends all positions to the tasks (24 bytes a node)
+    and gets the forces back. The springs of node v go to heads[begin[v] : begin[v + 1]], both ways."""
     k, n = min(15.0, max(1.0, spread)), len(start)
-    blocks = max(8, math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism)))
-    size = math.ceil(n / blocks)
-    whole = sorted(((i, j) for i in range(blocks) for j in range(i, blocks)), key=lambda x: x[0] == x[1])
-    tasks = min(len(whole), spark.sparkContext.defaultParallelism)
-    pairs = [pair for t in range(tasks) for pair in whole[t::tasks]]  # pairs of a block with itself, half the work, are dealt evenly
-    number = np.zeros((blocks, blocks), int)
-    for u, pair in enumerate(pairs):
-        number[pair] = u
-    at_pair = number[springs[:, 0] // size, springs[:, 1] // size]
-    order = np.argsort(at_pair, kind="stable")
-    begin = np.searchsorted(at_pair[order], np.arange(len(pairs) + 1))
-    held = spark.sparkContext.broadcast((np.log2(start["degree"].to_numpy(float) + 1), springs[order], begin))
+    tasks = spark.sparkContext.defaultParallelism
+    at_ends = np.searchsorted(begin + np.arange(n + 1), np.linspace(0, begin[-1] + n, tasks + 1))
+    held = spark.sparkContext.broadcast((np.log2(start["degree"].to_numpy(float) + 1), heads, begin))
 
     def force_at(at: np.ndarray) -> np.ndarray:
         sent = spark.sparkContext.broadcast(at)
+        level, parts = repulsion.plan(at, BALL, tasks)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (weight, links, begin), now = held.value, sent.value
+            (weight, heads, begin), now = held.value, sent.value
             for batch in batches:
                 for u in batch.column(0).to_pylist():
-                    i, j = pairs[u]
-                    a, b = slice(i * size, (i + 1) * size), slice(j * size, (j + 1) * size)
-                    found = forces(now[a], weight[a], now[b], weight[b], links[begin[u] : begin[u + 1]] - [i * size, j * size], k, i == j)
-                    yield pa.RecordBatch.from_pydict({"pair": pa.array([u] * len(found), pa.int64()), "block": pa.array([i, j][: len(found)], pa.int64()), "force": [x.tobytes() for x in found]})
+                    rows, field = repulsion.fields(now, weight, BALL, level, *parts[u])
+                    push = REPULSION * ((1 + k * weight[rows])[:, None] * field[:, 0] + k * field[:, 1])
+                    pull = drawn(now, heads, begin, k, *at_ends[u : u + 2].tolist())
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([u], pa.int64()), "rows": [rows.astype(np.int32).tobytes()], "push": [push.tobytes()], "pull": [pull.tobytes()]})
 
         summed = np.zeros((n, 3))
-        for row in sorted(spark.range(0, len(pairs), 1, tasks).mapInArrow(run, "pair long, block long, force binary").toArrow().to_pylist(), key=lambda x: (x["pair"], x["block"])):
-            summed[row["block"] * size : (row["block"] + 1) * size] += np.frombuffer(row["force"]).reshape(-1, 3)
+        for row in spark.range(0, tasks, 1, tasks).mapInArrow(run, "part long, rows binary, push binary, pull binary").toArrow().to_pylist():
+            summed[np.frombuffer(row["rows"], np.int32)] += np.frombuffer(row["push"]).reshape(-1, 3)
+            summed[at_ends[row["part"]] : at_ends[row["part"] + 1]] += np.frombuffer(row["pull"]).reshape(-1, 3)
         sent.destroy()
         return summed
 
@@ -179,8 +175,8 @@ def relax_in_tasks(spark: SparkSession, start: pd.DataFrame, springs: np.ndarray
 def linlog(nodes: DataFrame, edges: DataFrame, spread: float = 1.0, *, one_task: int = ONE_TASK) -> DataFrame:
     """(id, x, y, z) of entity nodes after the forces.
 
-    All nodes push each other, so its time grows with their square. Up to ``one_task`` nodes are one group; beyond, the
-    positions and the springs (8 bytes each) are held by the driver and a round's forces are summed by tasks."""
+    All nodes push each other. Up to ``one_task`` nodes are one group, of which each pair is met; beyond, a tree of cells sums
+    the pushes, the positions and the springs (8 bytes each) are held by the driver and a round's forces are summed by tasks."""
     spark = nodes.sparkSession
     nodes, edges = materialize(nodes.select("id"), "nodes"), materialize(edges.select("src", "dst"), "edges")
     placed = place_entities(nodes, edges, spread)
@@ -189,11 +185,9 @@ def linlog(nodes: DataFrame, edges: DataFrame, spread: float = 1.0, *, one_task:
         rows = materialize(with_position(placed, ["id"]).select("position", "id", "degree", "x", "y", "z"), "placed")
         last = rows.groupBy("id").agg(F.max("position").cast("int").alias("position"))
         of = lambda end: last.select(F.col("id").alias(end), F.col("position").alias(f"at_{end}"))
-        links = inner.join(of("src"), "src").join(of("dst"), "dst").select(F.least("at_src", "at_dst"), F.greatest("at_src", "at_dst")).toArrow()
-        springs = np.column_stack([links.column(x).to_numpy() for x in (0, 1)])
-        springs = springs[np.lexsort((springs[:, 1], springs[:, 0]))]
+        links = inner.where("src <> dst").join(of("src"), "src").join(of("dst"), "dst").select(F.col("at_src").alias("a"), F.col("at_dst").alias("b"))
         start = rows.drop("id").toArrow().sort_by("position").to_pandas()
-        moved = spark.sparkContext.broadcast(relax_in_tasks(spark, start, springs, spread))
+        moved = spark.sparkContext.broadcast(relax_in_tasks(spark, start, *neighbour_lists(links, len(start)), spread))
 
         def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -310,6 +310,40 @@ def test_forces_in_one_task_and_in_many(spark):
     assert few.count() == 3 and layout.linlog(nodes.limit(0), frame, one_task=0).count() == 0
 
 
+def test_repulsion_by_cells_is_that_of_all_pairs():
+    from loamgraph.operators import repulsion
+
+    rng = np.random.default_rng(4)
+    on = rng.normal(size=(4000, 3))
+    on *= 480 / np.linalg.norm(on, axis=1)[:, None]
+    for at in (on, on * rng.random((4000, 1)), np.concatenate([on[:1000] / 40 + 300 / 1.8, on[:1000], on[:3]])):
+        at = at * np.minimum(1, 480 / np.linalg.norm(at, axis=1))[:, None]
+        weight = rng.random(len(at)) * 9
+        near = np.array([[((at[i] - at) * (f / (1 + ((at[i] - at) ** 2).sum(axis=1)) ** 1.5)[:, None]).sum(axis=0) for f in (1, weight)] for i in range(0, len(at), 97)])
+        for level in (1, 2, 3, 4):
+            cells = len(repulsion.cells_of(at, 480, level)[1])
+            found = np.full((len(at), 2, 3), np.nan)
+            for low, high in ((0, cells // 3), (cells // 3, cells // 3), (cells // 3, cells)):
+                rows, part = repulsion.fields(at, weight, 480, level, low, high)
+                found[rows] = part
+            wrong = np.linalg.norm(found[::97] - near, axis=2) / np.linalg.norm(near, axis=2)
+            assert wrong.max() < (1e-9 if level == 1 else 1e-4) and np.median(wrong) < 1e-6
+        level, parts = repulsion.plan(at, 480, 5)
+        assert parts[0][0] == 0 and parts[-1][1] == len(repulsion.cells_of(at, 480, level)[1]) and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+
+
+def test_pairs_met_one_by_one_do_not_grow_with_their_square():
+    from loamgraph.operators import repulsion
+
+    met = []
+    for n in (100_000, 400_000):
+        at = np.random.default_rng(6).normal(size=(n, 3))
+        at *= 480 / np.linalg.norm(at, axis=1)[:, None]
+        _, cells, begin = repulsion.cells_of(at, 480, repulsion.plan(at, 480, 6)[0])
+        met.append(float((np.diff(begin).astype(float) ** 2).sum() * 9))
+    assert met[1] < n * n / 20 and met[1] < 10 * met[0]
+
+
 def test_pairs_of_groups_of_any_size(spark):
     from loamgraph.operators.pairs import pair_counts
 
